@@ -7,9 +7,10 @@ candidates. How many fragments there are depends on the size: sizes fall in grou
 or the next, and a set is cut once for its own group and once for the group below. Fragments in which a set has nothing are
 no evidence; more fragments than d + 1 make up for them, and the rare set with still more empty ones is keyed by them too.
 
-For a candidate pair the overlaps of the fragments (of a fixed, coarser cut) are counted one by one and summed, and the sum
-decides exactly. Equal sets are one class before any of this. Pairs are not listed per group: each fragment first links its sets
-to one leader; only fragments whose sets are still in several components are looked at again, with other leaders and at last in full.
+Equal sets are one class before any of this. Pairs are not listed: each fragment links its sets to one of them, and what these links
+connect is a group of candidates. A group is dealt out in pairs of blocks of about BLOCK sets, so that a large one is the work of
+many tasks. There the overlaps are counted for one fragment of the global order after another and summed for each pair, and the
+sums decide exactly. A task returns the edges of a forest, fewer than it has sets.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, chunks, components, cut, lowered, mix, mix1, partitions, prefix_hash, slice_hash, stored, text_of, words_of
+from tidewell.llm.common import U64, chunks, components, lowered, mix, mix1, partitions, prefix_hash, slice_hash, stored, text_of, words_of
 
-#: Fragments in which verification counts overlaps.
-COUNTED = 16
+#: Sets in a block, and n-grams in a fragment when overlaps are counted.
+BLOCK, COLUMNS = 128, 16384
 
 
 class Cuts:
@@ -148,30 +149,96 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(np.repeat(rep, np.diff(offsets) // 8))], names=["key", "rep"])
 
 
-def _fragments(n: int):
-    """Whole sets, each as COUNTED fragments of the global order."""
+def _blocks(n: int):
+    """Whole sets with their candidate component, each once for every pair of blocks that it is compared in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_of(batch.column(1))
+            group, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
             for a, b in chunks(offsets):
                 grams, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                owner = np.repeat(np.arange(b - a), np.diff(at)) * COUNTED + (grams >> U64(60)).astype(np.int64)
-                inner = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange((b - a) * COUNTED + 1)), pa.int32()), pa.array(grams.view(np.int64)))
-                outer = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * COUNTED, pa.int32()), inner)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), outer], names=["id", "n", "parts"])
+                rep = batch.column(0).slice(a, b - a)
+                blocks = -(-size[a:b] // BLOCK)
+                own = mix(rep.to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) % blocks.astype(U64)
+                rows = np.repeat(np.arange(b - a), blocks)
+                other = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                own = own.astype(np.int64)[rows]
+                sets = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * 8).astype(np.int32).tobytes()), pa.py_buffer(grams.tobytes())])
+                for lo in range(0, len(rows), 1024):
+                    r, o, i = rows[lo : lo + 1024], own[lo : lo + 1024], other[lo : lo + 1024]
+                    yield pa.RecordBatch.from_arrays([pa.array(group[a:b][r]), pa.array(np.minimum(o, i)), pa.array(np.maximum(o, i)), rep.take(pa.array(r)), pa.array(o > i), sets.take(pa.array(r))], names=["group", "low", "high", "id", "upper", "set"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose overlaps, counted fragment by fragment and summed, reach the threshold."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
-    overlap = F.aggregate(partial, F.lit(0).cast("long"), lambda s, x: s + x)
-    return both.where(overlap * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share: counted for one fragment of the global order after another, and summed."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    rank = np.cumsum(shared) - 1
+    keep = shared[element]
+    element, owner = rank[element[keep]], owner[keep]
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    total = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(element, (low, low + COLUMNS))
+        part = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - low)), np.float32)
+        part[owner[a:b], element[a:b] - low] = 1
+        total += (part @ part.T).astype(np.int64)
+    return total
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the links of a small symmetric matrix connect, and no more."""
+    out, seen = [], np.zeros(len(linked), bool)
+    for root in range(len(linked)):
+        if seen[root]:
+            continue
+        seen[root], todo = True, [root]
+        while todo:
+            k = todo.pop()
+            new = np.flatnonzero(linked[k] & ~seen)
+            seen[new] = True
+            out += [(k, int(x)) for x in new]
+            todo += new.tolist()
+    return out
+
+
+def _compared(num: int, den: int):
+    """Exact links between the sets of two blocks, as the edges of a forest."""
+
+    def finish(ids: list, sets: list, upper: list, across: bool) -> list[tuple[int, int]]:
+        if len(ids) < 2:
+            return []
+        size = np.array([len(s) for s in sets])
+        linked = overlaps(sets) * (den + num) >= (size[:, None] + size[None, :]) * num
+        np.fill_diagonal(linked, False)
+        if across:  # within a block they are compared elsewhere
+            side = np.array(upper)
+            linked &= side[:, None] != side[None, :]
+        return [(ids[x], ids[y]) for x, y in forest(linked)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets, upper = None, [], [], []
+        for batch in batches:
+            found = []
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            for k, (key, id_, side) in enumerate(zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if key != now:
+                    found += finish(ids, sets, upper, now is not None and now[1] != now[2])
+                    now, ids, sets, upper = key, [], [], []
+                ids.append(id_)
+                sets.append(np.frombuffer(batch.column(5)[k].as_buffer(), U64).copy())
+                upper.append(side)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        found = finish(ids, sets, upper, now is not None and now[1] != now[2])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -181,36 +248,19 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     the representatives that link with others. Sets link when their Jaccard similarity is num / den at least.
     """
     spark = docs.sparkSession
+    parts = partitions(spark)
     docs = docs.select("doc_id", "text")
     rows = stored(docs.mapInArrow(_signatures(n, num, den), "doc_id long, n long, hi long, lo long, sig binary"), "signatures")
     same = ["n", "hi", "lo"]
     reps = rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
-    keys = reps.where("rep is not null").select("rep", "sig").mapInArrow(_keys, "key long, rep long").repartition(partitions(spark), "key")
-    span = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = stored(keys.join(span.select("key"), "key", "left_semi"), "members")
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_fragments(n), "id long, n long, parts array<array<long>>"), "sets")
-
-    links, tested, labels = None, None, None
-    for leader in (F.min, F.max, None):
-        at = members.withColumn("c", F.col("rep"))
-        if labels is not None:
-            at = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        open_ = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), *([leader(F.struct("c", "rep")).alias("lead")] if leader else [])).where("low < high")
-        if leader:
-            pairs = at.join(open_, "key").where("c != lead.c").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
-        else:
-            mine = at.join(open_.select("key"), "key")
-            other = mine.select("key", F.col("rep").alias("rep2"), F.col("c").alias("c2"))
-            pairs = mine.join(other, "key").where("c < c2").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-        pairs = pairs.distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = cut(_verified(pairs, sets, num, den))
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links)
+    keys = reps.where("rep is not null").select("rep", "sig").mapInArrow(_keys, "key long, rep long").repartition(parts, "key")
+    leads = keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("key", "a")
+    near = components(keys.join(leads, "key").where("rep != a").select("a", F.col("rep").alias("b")).distinct())
+    sized = near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("id").alias("doc_id"), "component", "size")
+    blocks = docs.join(sized, "doc_id").select("doc_id", "text", "component", "size").mapInArrow(_blocks(n), "group long, low long, high long, id long, upper boolean, set binary")
+    links = blocks.repartition(parts, "group", "low", "high").sortWithinPartitions("group", "low", "high").mapInArrow(_compared(num, den), "a long, b long")
     classes = rows.select("doc_id", *same).join(reps.select(*same, "rep"), same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    return classes, labels
+    return classes, components(links)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
