@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import fingerprints, langid, ngram_join, packing, repeats, vectors, warc
+from tidewell.llm import fingerprints, langid, lines, mixing, ngram_join, packing, repeats, vectors, warc
 
 
 SQL = {
+    "op1_line_dedup": """
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+             w AS (SELECT *, len(regexp_extract_all(line, '[^ \\t-\\r]+')) AS words FROM l),
+             u AS (SELECT doc_id, pos, line, unnest(range(least(4, ((words + 15) // 16))::BIGINT)) AS i FROM w WHERE words > 0),
+             k AS (SELECT doc_id, pos, md5(line) || i AS key, row_number() OVER d AS n, lead(pos, 3) OVER d AS last FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY pos, i)),
+             s AS (SELECT doc_id, pos, n, last, concat_ws('/', key, lead(key, 1) OVER d, lead(key, 2) OVER d, lead(key, 3) OVER d) AS four FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
+             f AS (SELECT *, row_number() OVER (PARTITION BY four ORDER BY doc_id, n) AS nth FROM s WHERE last IS NOT NULL),
+             r AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM f WHERE nth > 1),
+             m AS (SELECT l.*, r.pos IS NOT NULL AS gone FROM l LEFT JOIN r USING (doc_id, pos)),
+             g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM m)
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(x.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs
+        FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS text, count(*) AS n_lines,
+                                           count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_runs FROM g GROUP BY doc_id) x USING (doc_id)""",
     "op2_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
              f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM p)
@@ -31,10 +44,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeated_lines(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"), entropy=0.97, repeats=4.0)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
