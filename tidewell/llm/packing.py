@@ -28,7 +28,9 @@ SALTS = 64
 #: Below this code point texts are split here, with the tokenizer's own ids for each word; others go through the tokenizer whole.
 PLAIN = 0x250
 #: Words whose ids a worker remembers, twice: those of late, and those it had when it last began anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Documents whose new words are looked up together.
+TOGETHER = 512
 
 
 class FreeSpace:
@@ -113,23 +115,41 @@ class Ids(dict):
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that a word ends with
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        self[word] = out = self.older.get(word) or self.raw(word)
-        return out
-
-    def of(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self.raw(text)
-        words = _pattern().findall(text.lower())
-        out = b"".join(map(self.__getitem__, words))
-        if len(self) > REMEMBERED:
+    def learn(self, words: list[str]) -> None:
+        """Encodes many words in one call; if the ids do not fall into as many words, each alone."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        to = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(to) == len(words):
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(words, to.tolist(), strict=True):
+                self[word] = raw[at:end]
+                at = end
+        else:
+            self.update((word, self.raw(word)) for word in words)
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        split = [None if _ODD.search(text) else _pattern().findall(text.lower()) for text in texts]
+        new = list(set().union(*(s for s in split if s)).difference(self))
+        if len(self) + len(new) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-        return out
+            new = list(set().union(*(s for s in split if s)))
+        unknown = []
+        for word in new:
+            if word in self.older:
+                self[word] = self.older[word]
+            else:
+                unknown.append(word)
+        for lo in range(0, len(unknown), 8192):
+            self.learn(unknown[lo : lo + 8192])
+        return [self.raw(text) if words is None else b"".join(map(self.__getitem__, words)) for text, words in zip(texts, split, strict=True)]
 
 
 _IDS: dict[str, Ids] = {}
@@ -141,13 +161,14 @@ def _pieces(path: str, capacity: int, end: int):
         tail, size = np.array([end], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            texts = batch.column(1)
-            for k in range(len(texts)):
-                whole = ids.of(texts[k].as_py() or "") + tail
-                for piece, at in enumerate(range(0, len(whole), size)):
-                    part = whole[at : at + size]
-                    for column, x in zip(rows, (k, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(x)
+            for lo in range(0, batch.num_rows, TOGETHER):
+                texts = [t or "" for t in batch.column(1).slice(lo, TOGETHER).to_pylist()]
+                for k, found in enumerate(ids.of(texts)):
+                    whole = found + tail
+                    for piece, at in enumerate(range(0, len(whole), size)):
+                        part = whole[at : at + size]
+                        for column, x in zip(rows, (lo + k, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int32())), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
