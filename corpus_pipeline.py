@@ -1,14 +1,81 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents (doc_id, text, lang, source, n_chars), each written as Parquet and read again.
+
+language   a document goes if no language is found in it, or none with a score of LEAST (op4's operator)
+lines      repeated line runs go; a document of nothing but such runs goes with them (op1's)
+near       of each group of documents with similar word n-grams the one with the smallest doc_id stays (op7's)
+mixture    documents of small sources are repeated to meet the target weights; each is used at least once (op3's)
+packing    token sequences of at most CAPACITY ids (op5's); returns a row for each piece
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm import entry, langid, lines, mixing, ngram_join, packing
+from tidewell.llm.common import shared_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST, CAPACITY = 0.4, 4096
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found. The model is learned from those that langid does not hold out."""
+    model = langid.learn(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out()))
+    return langid.predicted(docs, model, *docs.columns).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST)).select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of line runs; n_chars follows the text."""
+    keep = [c for c in docs.columns if c not in ("text", "n_chars")]
+    left = lines.without_repeated_lines(docs, *keep).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that of the group's smallest doc_id (of repeated rows, one)."""
+    found = ngram_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture uses them."""
+    return mixing.mixed(docs, entropy=0.97, repeats=4.0)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their sequences."""
+    return packing.pack_documents(docs, entry.tokenizer_file(), CAPACITY)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("lines", repeated_lines),
+    ("near", near_copies),
+    ("mixture", mixture),
+    ("packing", packed),
+]
+#: Language and packing are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
 def queries() -> dict:
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

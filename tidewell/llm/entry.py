@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import fingerprints, langid, lines, mixing, ngram_join, packing, repeats, vectors, warc
+from tidewell.llm import fingerprints, langid, lines, mixing, ngram_join, packing, repeats, resampling, vectors, warc
 
 
 SQL = {
@@ -79,6 +79,11 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return resampling.resampled(table(spark, sf_dir, "documents"), good)
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 

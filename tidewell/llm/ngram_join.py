@@ -111,13 +111,13 @@ def fragment_keys(grams: np.ndarray, at: np.ndarray, cuts: Cuts) -> tuple[np.nda
         begin = np.flatnonzero(new)
         sums = np.add.reduceat(mixed[index], begin)
         slot, part = slot[begin], part[begin]
-        named = part * U64(0x9E3779B97F4A7C15) + scheme[own][slot].astype(U64) * U64(0xC2B2AE3D27D4EB4F)
-        keys.append(mix(sums + mix(named)))
+        named = mix(part * U64(0x9E3779B97F4A7C15) + scheme[own][slot].astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+        keys.append(mix(sums + named))
         owners.append(own[slot])
         empty = parts - np.bincount(slot, minlength=len(own))
         for i in np.flatnonzero(empty > spare):
             void = np.setdiff1d(np.arange(parts[i], dtype=U64), part[slot == i])
-            keys.append(mix(mix(void * U64(0x9E3779B97F4A7C15) + U64(int(scheme[own[i]])) * U64(0xC2B2AE3D27D4EB4F)) ^ U64(0x5555555555555555)))
+            keys.append(mix(mix(void * U64(0x9E3779B97F4A7C15) + scheme[own[i : i + 1]].astype(U64) * U64(0xC2B2AE3D27D4EB4F)) ^ U64(0x5555555555555555)))
             owners.append(np.full(len(void), own[i]))
     if not keys:
         return np.zeros(0, U64), np.zeros(0, np.int64)
