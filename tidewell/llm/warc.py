@@ -182,7 +182,6 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
     response's page_id are responses too. A row without page_id is written, never referred to, and revisits where others have its payload. No rows,
     no archive.
     """
-    spark = pages.sparkSession
     store, base = pyarrow.fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     payload = F.coalesce("html", F.lit(""))
@@ -192,8 +191,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
     revisits = narrow.join(firsts.select("sha256", "first"), "sha256").where("page_id is null or page_id != first").distinct()
     revisits = revisits.select(F.col("sha256").alias("sha256_"), F.col("page_id").alias("page_id_"), "first")
     rows = pages.join(revisits, [F.col("sha256") == F.col("sha256_"), F.col("page_id").eqNullSafe(F.col("page_id_"))], "left").select("page_id", "url", "html", "sha256", "first")
-    rows = rows.repartition(partitions(spark), F.xxhash64("page_id")).sortWithinPartitions("page_id")
-    return stored(rows.mapInArrow(_write(folder), "path string, records long, bytes long"), "archives")
+    return stored(rows.sortWithinPartitions("page_id").mapInArrow(_write(folder), "path string, records long, bytes long"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
