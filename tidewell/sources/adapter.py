@@ -21,7 +21,7 @@ class TimeScale:
     timeout: int = 10 * MINUTE
     on_delay: int = 5 * MINUTE
     off_delay: int = 15 * MINUTE
-    cell: int = 6_000
+    cell: int = 10 * MINUTE
     chart: int = HOUR
 
 
