@@ -1,6 +1,6 @@
 """All queries of the engine."""
 
-from tidewell.plans import scoring, signals, statistics, truth  # noqa: F401  each module registers its queries
+from tidewell.plans import display, learning, scoring, signals, statistics, truth  # noqa: F401  each module registers its queries
 from tidewell.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
