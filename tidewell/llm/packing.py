@@ -9,9 +9,6 @@ the input. Pieces are numbered within their length by two levels of counts and t
 
 from __future__ import annotations
 
-import functools
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,16 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewell.llm.common import cut, stored
+from tidewell.llm.common import U64, chunks, cut, prefix_hash, slice_hash, stored, text_of
 
 #: Parts in which pieces of one length are numbered, so that no task gets all documents of a common length.
 SALTS = 64
-#: Below this code point texts are split here, with the tokenizer's own ids for each word; others go through the tokenizer whole.
-PLAIN = 0x250
-#: Words whose ids a worker remembers, twice: those of late, and those it had when it last began anew.
+#: Words whose ids a worker remembers.
 REMEMBERED = 400_000
-#: Documents whose new words are looked up together.
-TOGETHER = 512
+#: Bytes of text that are split at once, and new words that are encoded in one call.
+SPLIT, ENCODED = 1 << 21, 8192
 
 
 class FreeSpace:
@@ -98,58 +93,97 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
-@functools.lru_cache(1)
-def _pattern() -> re.Pattern:
-    """The tokenizer's own pattern, with Unicode's classes spelled out below PLAIN."""
-    of = {kind: "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] == kind) for kind in "LN"}
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^\s{of['L']}{of['N']}]+")
-
-
-#: Texts with any of these go through the tokenizer whole: characters it may treat in a way of its own, and its special tokens.
-_ODD = re.compile(rf"[^\t-\r\x20-\x7e\xa1-įı-{chr(PLAIN - 1)}]|<\|")
-
-
-class Ids(dict):
-    """Word -> its ids as little-endian bytes."""
+#: What the tokenizer's own pattern does with the bytes of plain text, by fixed classes: white space ends words, a word is a run of letters, one
+#: digit, or a run of other signs. Letters are a-z and those of C3 80 to C3 BF but for two signs. Texts with any other byte, with an
+#: apostrophe (contractions) or the beginning of a special token go through the tokenizer whole.
+_BLANK, _ALPHA, _DIGIT, _SIGN, _ODD = range(5)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = _BLANK
+_CLASS[33:127] = _SIGN
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123), 0xC3]] = _ALPHA
+_CLASS[39] = _ODD
+
+
+def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, starts and ends of words, and which texts are not plain; those have no words here."""
+    kind = _CLASS[data]
+    after = np.zeros(len(data), bool)  # the second byte of a letter
+    after[1:] = data[:-1] == 0xC3
+    kind[after & (data >= 0x80) & (data <= 0xBF)] = _ALPHA
+    lower = data.copy()
+    lower[(data >= 65) & (data <= 90)] += 32
+    lower[after & (data >= 0x80) & (data <= 0x9E)] += 32
+    bad = kind == _ODD
+    bad |= after & ((data == 0x97) | (data == 0xB7))
+    bad[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+    odd = np.diff(np.concatenate(([0], np.cumsum(bad)))[offsets]) > 0
+    edge = np.ones(len(data) + 1, bool)
+    edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    edge[offsets] = True
+    words = kind != _BLANK
+    if odd.any():
+        words &= ~np.repeat(odd, np.diff(offsets))
+    return lower, np.flatnonzero(words & edge[:-1]), np.flatnonzero(words & edge[1:]) + 1, odd
+
+
+class Ids:
+    """Ids of texts, by the tokenizer, which sees each word of plain texts once; words are known by their 64-bit hash."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that a word ends with
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Encodes many words in one call; if the ids do not fall into as many words, each alone."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        to = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(to) == len(words):
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(words, to.tolist(), strict=True):
-                self[word] = raw[at:end]
-                at = end
-        else:
-            self.update((word, self.raw(word)) for word in words)
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(text) else _pattern().findall(text.lower()) for text in texts]
-        new = list(set().union(*(s for s in split if s)).difference(self))
-        if len(self) + len(new) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-            new = list(set().union(*(s for s in split if s)))
-        unknown = []
-        for word in new:
-            if word in self.older:
-                self[word] = self.older[word]
-            else:
-                unknown.append(word)
-        for lo in range(0, len(unknown), 8192):
-            self.learn(unknown[lo : lo + 8192])
-        return [self.raw(text) if words is None else b"".join(map(self.__getitem__, words)) for text, words in zip(texts, split, strict=True)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.row = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.ids, self.at = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def raw(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encodes words in one call; if the ids do not fall into as many words, each alone."""
+        ids = self.raw(" ".join(words))
+        to = np.flatnonzero(self.ends[ids]) + 1
+        if len(to) != len(words):
+            each = [self.raw(word) for word in words]
+            ids, to = np.concatenate(each), np.cumsum([len(x) for x in each])
+        place = np.searchsorted(self.known, hashes)  # both are ascending
+        self.known, self.row = np.insert(self.known, place, hashes), np.insert(self.row, place, len(self.at) - 1 + np.arange(len(words)))
+        self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + to])
+
+    def unknown(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.arange(len(hashes))
+        place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.flatnonzero(self.known[place] != hashes)
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        data, offsets = text_of(texts)
+        out: list[np.ndarray] = []
+        for a, b in chunks(offsets, SPLIT):
+            lower, start, end, odd = _split(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            each, first, which = np.unique(slice_hash(prefix_hash(lower), start, end), return_index=True, return_inverse=True)
+            new = self.unknown(each)
+            if len(self.known) + len(new) > REMEMBERED:
+                self.forget()
+                new = np.arange(len(each))
+            raw = lower.tobytes()
+            for lo in range(0, len(new), ENCODED):
+                part = new[lo : lo + ENCODED]
+                self.learn(each[part], [raw[s:e].decode() for s, e in zip(start[first[part]].tolist(), end[first[part]].tolist(), strict=True)])
+            row = self.row[np.searchsorted(self.known, each)][which] if len(each) else np.zeros(0, np.int64)
+            size = self.at[row + 1] - self.at[row]
+            to = np.concatenate(([0], np.cumsum(size)))
+            ids = self.ids[np.repeat(self.at[row] - to[:-1], size) + np.arange(to[-1])]
+            edge = to[np.searchsorted(start, offsets[a : b + 1] - offsets[a])]
+            for k, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+                out.append(self.raw(texts[a + k].as_py()) if odd[k] else ids[x:y])
+        return out
 
 
 _IDS: dict[str, Ids] = {}
@@ -157,17 +191,16 @@ _IDS: dict[str, Ids] = {}
 
 def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _IDS.get(path) or _IDS.setdefault(path, Ids(path))
-        tail, size = np.array([end], "<u4").tobytes(), 4 * capacity
+        known = _IDS.get(path) or _IDS.setdefault(path, Ids(path))
+        tail = np.array([end], "<u4")
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for lo in range(0, batch.num_rows, TOGETHER):
-                texts = [t or "" for t in batch.column(1).slice(lo, TOGETHER).to_pylist()]
-                for k, found in enumerate(ids.of(texts)):
-                    whole = found + tail
-                    for piece, at in enumerate(range(0, len(whole), size)):
-                        part = whole[at : at + size]
-                        for column, x in zip(rows, (lo + k, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            for lo in range(0, batch.num_rows, 1024):
+                for k, found in enumerate(known.of(batch.column(1).slice(lo, 1024))):
+                    whole = np.concatenate([found, tail])
+                    for piece, at in enumerate(range(0, len(whole), capacity)):
+                        part = whole[at : at + capacity]
+                        for column, x in zip(rows, (lo + k, piece, at, len(part), zlib.crc32(part.data)), strict=True):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int32())), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
