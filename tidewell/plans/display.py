@@ -19,18 +19,18 @@ _RUN = "SELECT *, sum(fresh) OVER (PARTITION BY device, channel, slot ORDER BY s
 
 
 def buckets(spark: SparkSession, sf: str) -> DataFrame:
-    """(device, channel, slot, part, ...) per bucket and contiguous part of it."""
+    """(device, channel, slot, part, ...) per bucket and contiguous part of it; the mean is in thousandths, rounded half up."""
     rows = iv.split(holds(spark, sf).where("energy is not null"), B, "slot")
     line = Window.partitionBy("device", "channel", "slot").orderBy(S)
     rows = rows.withColumn("fresh", F.when(F.lag(E).over(line) == F.col(S), 0).otherwise(1)).withColumn("part", F.sum("fresh").over(line))
     ms = F.col(E) - F.col(S)
     first = lambda f, c: f(F.struct(S, E), F.struct(c, F.col(S)))[S]
     return rows.groupBy("device", "channel", "slot", "part").agg(
-        F.min(S).alias(S), F.max(E).alias(E), F.sum(ms).alias("ms"), F.round(F.sum(F.col("energy") * ms) / F.sum(ms), 6).alias("mean"), F.min("energy").alias("low"), F.max("energy").alias("high"),
+        F.min(S).alias(S), F.max(E).alias(E), F.sum(ms).alias("ms"), F.expr("(1000 * sum(energy * (end_ms - start_ms)) + sum(end_ms - start_ms) div 2) div sum(end_ms - start_ms)").alias("mean_milli"), F.min("energy").alias("low"), F.max("energy").alias("high"),
         first(F.min_by, F.col("energy")).alias("low_at"), first(F.min_by, -F.col("energy")).alias("high_at"))
 
 
-@query(with_views("SELECT device, channel, slot, part, min(start_ms) AS start_ms, max(end_ms) AS end_ms, sum(end_ms - start_ms)::BIGINT AS ms, round(sum(energy * (end_ms - start_ms)) / sum(end_ms - start_ms), 6)::DOUBLE AS mean, min(energy) AS low, max(energy) AS high, arg_min(start_ms, struct_pack(a := energy, b := start_ms)) AS low_at, arg_min(start_ms, struct_pack(a := -energy, b := start_ms)) AS high_at FROM rn GROUP BY device, channel, slot, part", sl=_SLOT, rn=_RUN))
+@query(with_views("SELECT device, channel, slot, part, min(start_ms) AS start_ms, max(end_ms) AS end_ms, sum(end_ms - start_ms)::BIGINT AS ms, ((1000 * sum(energy * (end_ms - start_ms)) + sum(end_ms - start_ms) // 2) // sum(end_ms - start_ms))::BIGINT AS mean_milli, min(energy) AS low, max(energy) AS high, arg_min(start_ms, struct_pack(a := energy, b := start_ms)) AS low_at, arg_min(start_ms, struct_pack(a := -energy, b := start_ms)) AS high_at FROM rn GROUP BY device, channel, slot, part", sl=_SLOT, rn=_RUN))
 def chart_buckets(spark: SparkSession, sf: str) -> DataFrame:
     """A downsampled chart: time-weighted mean, extremes and where they first are, per bucket and contiguous part."""
     return buckets(spark, sf)
@@ -129,7 +129,7 @@ def auto_learning_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 HUMAN_AGE, AUTO_AGE, THIN_AGE = 20 * DAY, 14 * DAY, 4 * DAY
-_KIND = f"SELECT device, day, start_ms, end_ms, human, level, CASE WHEN human THEN {NOW - HUMAN_AGE} ELSE {NOW - THIN_AGE} - ({AUTO_AGE - THIN_AGE} * greatest(0, level - 11)) // 9 END AS cutoff FROM (SELECT device, k AS day, greatest(start_ms, k * {DAY}) AS start_ms, least(end_ms, (k + 1) * {DAY}) AS end_ms, human, level FROM (SELECT *, unnest(range(start_ms // {DAY}, (end_ms - 1) // {DAY} + 1)) AS k FROM (SELECT device, start_ms, end_ms, false AS human, level FROM gs UNION ALL SELECT device, start_ms, end_ms, true, 20 FROM lab WHERE source = 'manual')))"
+_KIND = f"SELECT device, day, start_ms, end_ms, human, level, CASE WHEN human THEN {NOW - HUMAN_AGE} ELSE {NOW - THIN_AGE} - ({AUTO_AGE - THIN_AGE}::BIGINT * greatest(0, level - 11)) // 9 END AS cutoff FROM (SELECT device, k AS day, greatest(start_ms, k * {DAY}) AS start_ms, least(end_ms, (k + 1) * {DAY}) AS end_ms, human, level FROM (SELECT *, unnest(range(start_ms // {DAY}, (end_ms - 1) // {DAY} + 1)) AS k FROM (SELECT device, start_ms, end_ms, false AS human, level FROM gs UNION ALL SELECT device, start_ms, end_ms, true, 20 FROM lab WHERE source = 'manual')))"
 
 
 def ranges(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,10 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators import histograms as hg
 from tidewell.operators import intervals as iv
 from tidewell.plans.registry import query
 from tidewell.plans.signals import GATES, islands, picked, vectors
-from tidewell.plans.statistics import LAST, LHIST, NOISE, PIECES, baselines, last_label
+from tidewell.plans.statistics import LAST, LHIST, PIECES, labelled, last_label
 from tidewell.sources import adapter as ad
 from tidewell.sources.adapter import HOUR, MINUTE, SCALE, with_views
 
@@ -195,7 +196,8 @@ def still_truth(spark: SparkSession, sf: str) -> DataFrame:
     return iv.subtract(ad.labels(spark, sf).where("state = 'present'"), only, ["device"])
 
 
-_TOPS = "SELECT device, " + ", ".join(f"max(ceiling) FILTER (channel = {c}) AS c{c}" for c in range(5)) + " FROM nz GROUP BY device"
+_TOPS = "SELECT device, " + ", ".join(f"max(top) FILTER (channel = {c}) AS c{c}" for c in range(5)) + " FROM nz GROUP BY device"
+_LOUD = "SELECT device, channel, coalesce(min(energy) FILTER (cum >= greatest(1, ceil(total * 0.9)::BIGINT)), 0) AS top FROM (SELECT *, sum(ms) OVER (PARTITION BY device, channel ORDER BY energy)::BIGINT AS cum, sum(ms) OVER (PARTITION BY device, channel)::BIGINT AS total FROM lh WHERE state = 'not_present') GROUP BY device, channel"
 _WIN = f"SELECT p.device, l.start_ms AS label, p.state, (p.cell - l.start_ms // {C}) // 10 AS win, count(*) AS n, sum((" + " OR ".join(f"coalesce(p.{g} > t.c{k}, false)" for k, g in enumerate(GATES)) + f")::INT)::BIGINT AS loud FROM pu p JOIN ll l ON l.device = p.device AND l.start_ms <= p.cell * {C} AND p.cell * {C} < l.end_ms JOIN tp t ON t.device = p.device GROUP BY ALL"
 
 
@@ -203,7 +205,8 @@ def label_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of ten cells of each label: how many cells are louder than quiet time."""
     truth = last_label(ad.labels(spark, sf), ["device"]).where("state != 'unknown'").withColumn("label", F.col(S)).select("device", "label", S, E)
     rows = iv.at_time(pure(spark, sf).withColumn("at", F.col("cell") * C), truth, ["device"], "at").drop(S, E, "at")
-    tops = baselines(spark, sf).groupBy("device").agg(*[F.max(F.when(F.col("channel") == c, F.col("ceiling"))).alias(f"c{c}") for c in range(len(GATES))])
+    quiet = hg.durations(labelled(spark, sf).where("state = 'not_present'"), ["device", "channel"])
+    tops = hg.quantile(quiet, ["device", "channel"], "q1", 0.9).groupBy("device").agg(*[F.max(F.when(F.col("channel") == c, F.col("value"))).alias(f"c{c}") for c in range(len(GATES))])
     loud = F.lit(False)
     for k, g in enumerate(GATES):
         loud = loud | F.coalesce(F.col(g) > F.col(f"c{k}"), F.lit(False))
@@ -211,7 +214,7 @@ def label_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(tops, "device").groupBy("device", "label", "state", win.alias("win")).agg(F.count(F.lit(1)).alias("n"), F.sum(loud.cast("long")).alias("loud"))
 
 
-@query(with_views("SELECT *, state = 'present' AND loud = 0 AS empty_like, state = 'not_present' AND 2 * loud > n AS occupied_like FROM wi", **PURE, lh=LHIST, nz=NOISE, tp=_TOPS, wi=_WIN))
+@query(with_views("SELECT *, state = 'present' AND loud = 0 AS empty_like, state = 'not_present' AND 2 * loud > n AS occupied_like FROM wi", **PURE, lh=LHIST, nz=_LOUD, tp=_TOPS, wi=_WIN))
 def anomaly_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of labels that look like the other class."""
     rows = label_windows(spark, sf)
