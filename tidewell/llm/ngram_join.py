@@ -126,27 +126,51 @@ def fragment_keys(grams: np.ndarray, at: np.ndarray, cuts: Cuts) -> tuple[np.nda
     return keys[order], owners[order]
 
 
-def _signatures(n: int, num: int, den: int):
+def _names(n: int):
+    """The size of each text's set, and 128 bits that name the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_of(batch.column(1))
+            for a, b in chunks(offsets):
+                grams, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
+                sums = [_sum_by(mix(grams + U64(seed)), at).view(np.int64) for seed in (1, 2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), *map(pa.array, sums)], names=["doc_id", "n", "hi", "lo"])
+
+    return run
+
+
+def _keys(n: int, num: int, den: int):
+    """The keys of all sets' fragments."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = Cuts(num, den)
         for batch in batches:
             data, offsets = text_of(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in chunks(offsets):
                 grams, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 keys, owners = fragment_keys(grams, at, cuts)
-                where = np.searchsorted(owners, np.arange(b - a + 1)) * 8
-                blob = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(where.astype(np.int32).tobytes()), pa.py_buffer(keys.tobytes())])
-                sums = [_sum_by(mix(grams + U64(seed)), at).view(np.int64) for seed in (1, 2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), *map(pa.array, sums), blob], names=["doc_id", "n", "hi", "lo", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[a:b][owners])], names=["key", "rep"])
 
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, rep): edges from the first set of each key to the others. Nothing of a key is held but its first set."""
+    last_key, lead = None, 0
     for batch in batches:
-        data, offsets = text_of(batch.column(1))
-        rep = batch.column(0).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(np.repeat(rep, np.diff(offsets) // 8))], names=["key", "rep"])
+        key, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        new[0] = last_key is None or key[0] != last_key
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        first = np.where(at < 0, lead, rep[at])
+        last_key, lead = key[-1], first[-1]
+        some = np.unique(np.stack([first, rep], 1)[first != rep], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[:, k])) for k in (0, 1)], names=["a", "b"])
 
 
 def _blocks(n: int):
@@ -250,12 +274,12 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     spark = docs.sparkSession
     parts = partitions(spark)
     docs = docs.select("doc_id", "text")
-    rows = stored(docs.mapInArrow(_signatures(n, num, den), "doc_id long, n long, hi long, lo long, sig binary"), "signatures")
+    rows = stored(docs.mapInArrow(_names(n), "doc_id long, n long, hi long, lo long"), "sets")
     same = ["n", "hi", "lo"]
-    reps = rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
-    keys = reps.where("rep is not null").select("rep", "sig").mapInArrow(_keys, "key long, rep long").repartition(parts, "key")
-    leads = keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("key", "a")
-    near = components(keys.join(leads, "key").where("rep != a").select("a", F.col("rep").alias("b")).distinct())
+    reps = rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    keys = docs.join(reps.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_keys(n, num, den), "key long, rep long")
+    edges = keys.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_stars, "a long, b long")
+    near = components(edges)
     sized = near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("id").alias("doc_id"), "component", "size")
     blocks = docs.join(sized, "doc_id").select("doc_id", "text", "component", "size").mapInArrow(_blocks(n), "group long, low long, high long, id long, upper boolean, set binary")
     links = blocks.repartition(parts, "group", "low", "high").sortWithinPartitions("group", "low", "high").mapInArrow(_compared(num, den), "a long, b long")
