@@ -4,8 +4,11 @@ The n-grams of all texts have one global order, that of their 64-bit hashes. It
 into its part of each fragment. Two sets of at most S elements together with Jaccard similarity t differ in at most
 d = S (1 - t) / (1 + t) elements, so of d + 1 fragments they agree in one at least: sets that agree in a fragment are the
 candidates. How many fragments there are depends on the size: sizes fall in groups in which a set's partners are in its own group
-or the next, and a set is cut once for its own group and once for the group below. Fragments in which a set has nothing are
-no evidence; more fragments than d + 1 make up for them, and the rare set with still more empty ones is keyed by them too.
+or the next, and a set is cut once for its own group and once for the group below. Fragments in which a set has nothing, or too few
+n-grams to tell, are no evidence; more fragments than d + 1 make up for them. Frequent n-grams, which many unlike texts share, are left out
+of these cuts (that takes no link away: fewer n-grams differ, not more). A set that lacks fragments then is cut with all its n-grams too, and
+if it still lacks some it is keyed by the small and empty ones as well. Of two sets that link, one has enough fragments of some cut, or both have the
+next cut, so they meet.
 
 Equal sets are one class before any of this. Pairs are not listed: each fragment links its sets to one of them, and what these links
 connect is a group of candidates. A group is dealt out in pairs of blocks of about BLOCK sets, so that a large one is the work of
@@ -27,6 +30,8 @@ from tidewell.llm.common import U64, chunks, components, lowered, mix, mix1, par
 
 #: Sets in a block, and n-grams in a fragment when overlaps are counted.
 BLOCK, COLUMNS = 128, 16384
+#: Documents that frequent n-grams are sampled from, how many of these have them, the most that are kept (8 MB).
+SAMPLED, OFTEN, FREQUENT = 16_384, 3, 1_000_000
 
 
 class Cuts:
@@ -38,15 +43,24 @@ class Cuts:
         while self.first[-1] < 1 << 40:
             self.first.append(self.first[-1] * den // num + 1)
         self.edges = np.array(self.first)
-        self.differ, self.parts, self.spare = [], [], []
+        self.differ, self.parts, self.spare, self.least = [], [], [], []
         for low, high in zip(self.first, self.first[1:], strict=False):
             largest = high - 1
             d = (largest + largest * den // num) * (den - num) // (den + num)
-            empty = (d + 1) * math.exp(-low / (d + 1))
-            spare = math.ceil(2 * empty + 3 * math.sqrt(empty))
+            for least in (4, 3, 2, 1):
+                parts, spare = d + 1, 0
+                for _ in range(40):
+                    few = parts * sum(math.exp(-low / parts) * (low / parts) ** k / math.factorial(k) for k in range(least))
+                    spare = math.ceil(few + 3 * math.sqrt(few))
+                    parts = d + 1 + spare
+                    if parts > 1.35 * (d + 1) + 4:
+                        break
+                if parts <= 1.35 * (d + 1) + 4:
+                    break
             self.differ.append(d)
             self.spare.append(spare)
-            self.parts.append(d + 1 + spare)
+            self.parts.append(parts)
+            self.least.append(least)
 
     def schemes(self, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Twice: the sets that have the scheme (of their own group, of the one below), and its number for each."""
@@ -93,37 +107,71 @@ def _sum_by(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def fragment_keys(grams: np.ndarray, at: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all sets' fragments, and for each key the number of its set; ascending by set."""
-    size, mixed = np.diff(at), mix(grams ^ U64(0xA5A5A5A5A5A5A5A5))
+def _fragments(grams: np.ndarray, at: np.ndarray, own: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sets `own`, cut into so many fragments each: slot of the set, number of the fragment, sum of its hashes, its size; none that are empty."""
+    reps = np.diff(at)[own]
+    index = np.repeat(at[own] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
+    slot = np.repeat(np.arange(len(own)), reps)
+    part = ((grams[index] >> U64(32)) * parts[slot].astype(U64)) >> U64(32)
+    new = np.ones(len(index), bool)
+    new[1:] = (part[1:] != part[:-1]) | (slot[1:] != slot[:-1])
+    begin = np.flatnonzero(new)
+    if not len(begin):
+        return slot, part, np.zeros(0, U64), np.zeros(0, np.int64)
+    sums = np.add.reduceat(mix(grams[index] ^ U64(0xA5A5A5A5A5A5A5A5)), begin)
+    return slot[begin], part[begin], sums, np.diff(np.append(begin, len(index)))
+
+
+def fragment_keys(grams: np.ndarray, at: np.ndarray, cuts: Cuts, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all sets' fragments, and for each key the number of its set; common are frequent n-grams, ascending."""
+    size = np.diff(at)
+    place = np.minimum(np.searchsorted(common, grams), max(0, len(common) - 1))
+    rare = common[place] != grams if len(common) else np.ones(len(grams), bool)
+    rare_at = np.concatenate(([0], np.cumsum(rare)))[at]
     keys, owners = [], []
     for own, scheme in cuts.schemes(size):
-        if not len(own):
-            continue
-        parts = np.array(cuts.parts)[scheme[own]]
-        spare = np.array(cuts.spare)[scheme[own]]
-        reps = size[own]
-        index = np.repeat(at[own] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
-        slot = np.repeat(np.arange(len(own)), reps)
-        part = ((grams[index] >> U64(32)) * parts[slot].astype(U64)) >> U64(32)
-        new = np.ones(len(index), bool)
-        new[1:] = (part[1:] != part[:-1]) | (slot[1:] != slot[:-1])
-        begin = np.flatnonzero(new)
-        sums = np.add.reduceat(mixed[index], begin)
-        slot, part = slot[begin], part[begin]
-        named = mix(part * U64(0x9E3779B97F4A7C15) + scheme[own][slot].astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-        keys.append(mix(sums + named))
-        owners.append(own[slot])
-        empty = parts - np.bincount(slot, minlength=len(own))
-        for i in np.flatnonzero(empty > spare):
-            void = np.setdiff1d(np.arange(parts[i], dtype=U64), part[slot == i])
-            keys.append(mix(mix(void * U64(0x9E3779B97F4A7C15) + scheme[own[i : i + 1]].astype(U64) * U64(0xC2B2AE3D27D4EB4F)) ^ U64(0x5555555555555555)))
-            owners.append(np.full(len(void), own[i]))
+        # frequent n-grams left out; then all n-grams, of the sets that have too few fragments so
+        for kind, (elements, begin) in enumerate(((grams[rare], rare_at), (grams, at))):
+            if not len(own):
+                break
+            parts, spare, least = (np.array(x)[scheme[own]] for x in (cuts.parts, cuts.spare, cuts.least))
+            slot, part, sums, count = _fragments(elements, begin, own, parts)
+            named = lambda sl, pt, k=kind, o=own: mix(pt * U64(0x9E3779B97F4A7C15) + scheme[o][sl].astype(U64) * U64(0xC2B2AE3D27D4EB4F) + U64(k))  # noqa: B023, E731
+            full = count >= least[slot]
+            lacking = parts - np.bincount(slot[full], minlength=len(own)) > spare
+            take = full | lacking[slot] if kind else full
+            keys.append(mix(sums[take] + named(slot[take], part[take])))
+            owners.append(own[slot[take]])
+            if kind:
+                for k in np.flatnonzero(lacking):
+                    void = np.setdiff1d(np.arange(parts[k], dtype=U64), part[slot == k])
+                    keys.append(mix(named(np.full(len(void), k), void) ^ U64(0x5555555555555555)))
+                    owners.append(np.full(len(void), own[k]))
+            own = own[lacking]
     if not keys:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    keys, owners = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return keys[order], owners[order]
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _grams(n: int):
+    """The n-grams of some texts, a row for each of a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_of(batch.column(0))
+            for a, b in chunks(offsets):
+                grams, _ = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], names=["gram"])
+
+    return run
+
+
+def frequent(docs: DataFrame, n: int) -> np.ndarray:
+    """N-grams that OFTEN or more of a sample of about SAMPLED documents have, the most frequent FREQUENT at most. They only shape the candidates."""
+    total = docs.count()
+    some = docs.select("text").sample(min(1.0, SAMPLED / max(total, 1)), 23).mapInArrow(_grams(n), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    found = some.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").toPandas()["gram"].to_numpy(np.int64)
+    return np.sort(found.view(U64))
 
 
 def _names(n: int):
@@ -140,7 +188,7 @@ def _names(n: int):
     return run
 
 
-def _keys(n: int, num: int, den: int):
+def _keys(n: int, num: int, den: int, common):
     """The keys of all sets' fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +198,7 @@ def _keys(n: int, num: int, den: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in chunks(offsets):
                 grams, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                keys, owners = fragment_keys(grams, at, cuts)
+                keys, owners = fragment_keys(grams, at, cuts, common.value)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[a:b][owners])], names=["key", "rep"])
 
     return run
@@ -275,9 +323,10 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     parts = partitions(spark)
     docs = docs.select("doc_id", "text")
     rows = stored(docs.mapInArrow(_names(n), "doc_id long, n long, hi long, lo long"), "sets")
+    common = spark.sparkContext.broadcast(frequent(docs, n))  # 8 bytes each, FREQUENT at most
     same = ["n", "hi", "lo"]
     reps = rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    keys = docs.join(reps.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_keys(n, num, den), "key long, rep long")
+    keys = docs.join(reps.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_keys(n, num, den, common), "key long, rep long")
     edges = keys.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_stars, "a long, b long")
     near = components(edges)
     sized = near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("id").alias("doc_id"), "component", "size")
