@@ -2,7 +2,8 @@
 
 language   a document goes if no language is found in it, or none with a score of LEAST (op4's operator)
 lines      repeated line runs go; a document of nothing but such runs goes with them (op1's)
-near       of each group of documents with similar word n-grams the one with the smallest doc_id stays (op7's)
+near       of each group of documents with similar word n-grams the one with the smallest doc_id stays (op7's); rows without an
+           id go
 mixture    documents of small sources are repeated to meet the target weights; each is used at least once (op3's)
 packing    token sequences of at most CAPACITY ids (op5's); returns a row for each piece
 """
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import entry, langid, lines, mixing, ngram_join, packing
-from tidewell.llm.common import shared_dir
+from tidewell.llm.common import joined, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST, CAPACITY = 0.4, 4096
@@ -37,8 +38,10 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the group's smallest doc_id (of repeated rows, one)."""
-    found = ngram_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    found = ngram_join.jaccard_components(docs)
+    kept = joined(docs.where("doc_id is not null"), found.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The most rows of a few numbers each that are broadcast (about 20 MB); beyond that, the other side is shuffled.
+BROADCAST = 400_000
+#: Documents in an Arrow batch, so that two Python workers and their executor stay small; a lower setting of the session stays.
+BATCH_ROWS = 2000
+
+
+def joined(big: DataFrame, few: DataFrame, on: str, how: str) -> DataFrame:
+    """A join of texts with a narrow table, which is written and counted first: broadcast up to BROADCAST rows, else a shuffle of both sides."""
+    few = cut(few)
+    return big.join(F.broadcast(few) if few.count() <= BROADCAST else few, on, how)
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, chunks, lowered, mix, mix1, partitions, prefix_hash, slice_hash, stored, text_of, words_of
+from tidewell.llm.common import U64, chunks, lowered, mix, mix1, partitions, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
 
 BITS = 128
 #: A term of so many bytes or more has the full weight.
@@ -113,6 +113,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of each row of docs (doc_id, text; other columns are not looked at) and of its edited text; see fingerprinted()."""
     spark = docs.sparkSession
     parts = partitions(spark)
+    small_batches(spark)
     docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = RANGES * parts
     splitters = sorted({int(x) for x in docs.approxQuantile("key", [k / n for k in range(1, n)], 0.2 / n)} if n > 1 else set(), reverse=True)

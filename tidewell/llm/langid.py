@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import prefix_hash, slice_hash
+from tidewell.llm.common import prefix_hash, slice_hash, small_batches
 
 BITS = 17
 PER_LANG, PIECES, WORDS, EPOCHS, RATE, DECAY = 500, 6, 24, 3, 0.3, 1e-5
@@ -264,6 +264,7 @@ def learn(docs: DataFrame) -> Model:
 
 def predicted(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns keep, lang_pred and score for each row of docs, from its text alone."""
+    small_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1]), "lang_pred string, score double"])

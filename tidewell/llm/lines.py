@@ -21,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import SPACE, cut, partitions, stored
+from tidewell.llm.common import cut, partitions, small_batches, stored
 
 MIN_UNITS, UNIT_WORDS = 4, 16
-_BLANK = bytes(np.flatnonzero(SPACE).astype(np.uint8))
 
 
 def _units(min_units: int, unit_words: int):
@@ -107,6 +106,7 @@ def without_repeated_lines(docs: DataFrame, *keep: str, min_units: int = MIN_UNI
     document, met twice: that is no repeat. A row without doc_id has no place in the order: it loses nothing and takes nothing. An empty
     table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     spans = repeated_runs(docs, min_units, unit_words).groupBy("doc_id").agg(F.collect_list(F.struct("line", "last")).alias("__spans")).withColumnRenamed("doc_id", "__doc")
     rows = docs.select(*keep, F.col("text").alias("__text"), F.col("doc_id").alias("__id"))
     rows = rows.join(spans, F.col("__id") == F.col("__doc"), "left").select(*keep, "__text", "__spans")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, chunks, components, lowered, mix, mix1, partitions, prefix_hash, slice_hash, stored, text_of, words_of
+from tidewell.llm.common import U64, chunks, components, joined, lowered, mix, mix1, partitions, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
 
 #: Sets in a block, and n-grams in a fragment when overlaps are counted.
 BLOCK, COLUMNS = 128, 16384
@@ -82,7 +82,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
         return np.zeros(0, U64), np.zeros(len(count) + 1, np.int64)
     grams = np.zeros(len(h), U64)
     for k in range(n):
-        grams[: len(h) - k] += h[k:] * U64(mix1(k + 1) | 1)
+        if k < len(h):
+            grams[: len(h) - k] += h[k:] * U64(mix1(k + 1) | 1)
     grams = mix(grams)
     owner = np.repeat(np.arange(len(count)), count)
     keep = np.arange(len(h)) - first[owner] <= (count - n)[owner]
@@ -321,16 +322,19 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     """
     spark = docs.sparkSession
     parts = partitions(spark)
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     rows = stored(docs.mapInArrow(_names(n), "doc_id long, n long, hi long, lo long"), "sets")
     common = spark.sparkContext.broadcast(frequent(docs, n))  # 8 bytes each, FREQUENT at most
     same = ["n", "hi", "lo"]
     reps = rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    keys = docs.join(reps.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_keys(n, num, den, common), "key long, rep long")
+    # all but later copies: these are few, as a rule, and leave the texts where they are
+    copies = rows.join(reps, same).where("doc_id != rep").select("doc_id").distinct()
+    keys = joined(docs.where("doc_id is not null"), copies, "doc_id", "left_anti").mapInArrow(_keys(n, num, den, common), "key long, rep long")
     edges = keys.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_stars, "a long, b long")
     near = components(edges)
     sized = near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("id").alias("doc_id"), "component", "size")
-    blocks = docs.join(sized, "doc_id").select("doc_id", "text", "component", "size").mapInArrow(_blocks(n), "group long, low long, high long, id long, upper boolean, set binary")
+    blocks = joined(docs, sized, "doc_id", "inner").select("doc_id", "text", "component", "size").mapInArrow(_blocks(n), "group long, low long, high long, id long, upper boolean, set binary")
     links = blocks.repartition(parts, "group", "low", "high").sortWithinPartitions("group", "low", "high").mapInArrow(_compared(num, den), "a long, b long")
     classes = rows.select("doc_id", *same).join(reps.select(*same, "rep"), same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     return classes, components(links)

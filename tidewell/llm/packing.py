@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewell.llm.common import U64, chunks, cut, prefix_hash, slice_hash, stored, text_of
+from tidewell.llm.common import U64, chunks, cut, prefix_hash, slice_hash, small_batches, stored, text_of
 
 #: Parts in which pieces of one length are numbered, so that no task gets all documents of a common length.
 SALTS = 64
@@ -209,6 +209,7 @@ def _pieces(path: str, capacity: int, end: int):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1) -> DataFrame:
     """The documents' token sequences, each closed by the id `end` and cut into pieces of capacity ids; the last may be shorter."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import CHUNK, U64, chunks, mix, partitions, prefix_hash, slice_hash, stored, text_of
+from tidewell.llm.common import U64, chunks, mix, partitions, prefix_hash, slice_hash, small_batches, stored, text_of
 
 #: Documents from which splitters are sampled, and suffixes of each.
 SAMPLED, OF_EACH = 4096, 16
@@ -106,31 +106,24 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def multikey_groups(group: np.ndarray, column, columns: int) -> np.ndarray:
-    """Group numbers refined by columns of words, column(j, rows) of 0..columns - 1: multikey quicksort that sorts only ties on."""
-    group = np.unique(group, return_inverse=True)[1].astype(np.int64)
-    out, active, top = group.copy(), np.arange(len(group)), len(group)
-    for j in range(columns):
-        size = np.bincount(out[active])
-        active = active[size[out[active]] > 1]
-        if not len(active):
-            break
-        word = column(j, active)
-        order = np.lexsort((word, out[active]))
-        g, w = out[active][order], word[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1])
-        active = active[order]
-        out[active] = top + np.cumsum(new) - 1
-        top += len(order)
-        out[active] = np.unique(out[active], return_inverse=True)[1]
-        settled = np.ones(len(out), bool)
-        settled[active] = False
-        out[settled] = -1
-    final = np.full(len(group), -1, np.int64)
-    size = np.bincount(out[active]) if len(active) else np.zeros(1, np.int64)
-    keep = active[size[out[active]] > 1] if len(active) else active
-    final[keep] = out[keep]
-    return final
+    """Numbers of the groups of rows that are equal in group and in all columns of words, -1 for a row alone: multikey quicksort.
+
+    column(j, rows) gives the j-th word of some rows. Each round sorts by one word what is still tied, and drops what is not.
+    """
+    rows, now = np.arange(len(group)), np.unique(group, return_inverse=True)[1]
+    for j in range(-1, columns):
+        if j >= 0 and len(rows):
+            word = column(j, rows)
+            order = np.lexsort((word, now))
+            rows, now, word = rows[order], now[order], word[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (now[1:] != now[:-1]) | (word[1:] != word[:-1])
+            now = np.cumsum(new) - 1
+        tied = np.bincount(now)[now] > 1 if len(now) else np.zeros(0, bool)
+        rows, now = rows[tied], now[tied]
+    out = np.full(len(group), -1, np.int64)
+    out[rows] = now
+    return out
 
 
 def _blob(records: np.ndarray) -> bytes:
@@ -138,10 +131,12 @@ def _blob(records: np.ndarray) -> bytes:
 
 
 def _by_range(records: np.ndarray, key: str, splitters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(records):
+        return
     part = np.searchsorted(splitters, records[key], "right")
     order = np.argsort(part, kind="stable")
     records, part = records[order], part[order]
-    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, int)
+    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for a, b in zip(edge, np.append(edge[1:], len(part)), strict=True):
         yield int(part[a]), records[a:b]
 
@@ -276,7 +271,7 @@ def _windows(length: int, splitters: int):
 
 def _compared(length: int):
     """Spans of windows that occur earlier, among windows under one key."""
-    steps = [0, length - 8] + [x for k in range(8, length - 8, 8) for x in (k,)] if length >= 8 else []
+    steps = [0, length - 8, *range(8, length - 8, 8)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, bodies = [np.zeros(0, WINDOW)], []
@@ -355,7 +350,10 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, start, end): spans of bytes whose every byte is in a string of `length` bytes that starts earlier too; they may overlap."""
+    if length < 8:
+        raise ValueError("strings have to be of 8 bytes or more")
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     n, parts = docs.count(), partitions(spark)
     some = docs.sample(min(1.0, SAMPLED / max(n, 1)), 17).limit(4 * SAMPLED).mapInArrow(_sample(length), "gram long")

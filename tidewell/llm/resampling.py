@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, chunks, lowered, mix, mix1, prefix_hash, slice_hash, stored, text_of, words_of
+from tidewell.llm.common import U64, chunks, lowered, mix, mix1, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
 
 SLOTS, TERMS = 1 << 14, 64
 #: The most target texts that the target's model is fitted on, and the share of documents that is sampled.
@@ -123,6 +123,7 @@ def resampled(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: in
     without words, null ones too, have weight 0 and come after all others. A row without doc_id has the noise of doc_id 0. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     given = spark.sparkContext.broadcast(log_ratios(docs, target))
     rows = stored(docs.select("doc_id", "text").mapInArrow(_scored(given, seed), "doc_id long, n_terms long, log_weight double, key long"), "weights")
     least = kth_largest(rows, "key", int(share * rows.count()))

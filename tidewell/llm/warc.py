@@ -19,7 +19,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import partitions, shared_dir, stored
+from tidewell.llm.common import partitions, shared_dir, small_batches, stored
 
 DATE = "2024-01-01T00:00:00Z"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -131,7 +131,7 @@ def _write(folder: str):
                 for k in range(batch.num_rows):
                     page_id, url, html, sha256, first = (batch.column(c)[k].as_py() for c in range(5))
                     if out is None:
-                        out = store.open_output_stream(f"{base}/{name}")
+                        out = store.open_output_stream(f"{base}/{name}", compression=None)
                         out.write(member({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:file:{name}>", "WARC-Date": DATE, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
                     raw = page_member(page_id, url, (html or "").encode(), sha256, first)
                     out.write(raw)
@@ -155,7 +155,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             store, at = pyarrow.fs.FileSystem.from_uri(path)
-            with store.open_input_stream(at) as stream:
+            with store.open_input_stream(at, compression=None) as stream:
                 rows, total = [], 0
                 for record in records(iter(lambda: stream.read(READ), b"")):
                     kind = record.fields.get("warc-type")
@@ -182,6 +182,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
     response's page_id are responses too. A row without page_id is written, never referred to, and revisits where others have its payload. No rows,
     no archive.
     """
+    small_batches(pages.sparkSession)
     store, base = pyarrow.fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     payload = F.coalesce("html", F.lit(""))
