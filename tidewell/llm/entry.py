@@ -30,6 +30,34 @@ SQL = {
                CASE WHEN payload_bytes >= 100 AND page_id <> low THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> low THEN low END AS refers_to
         FROM f""",
+    "op3_source_mixing": """
+        WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS n_tokens FROM documents),
+             z AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS docs FROM d GROUP BY source),
+             p AS (SELECT source, tokens, tokens::DOUBLE / sum(tokens) OVER () AS p FROM z WHERE tokens > 0),
+             h(step, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+                SELECT step + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (SELECT step, lo, hi, (lo + hi) / 2 AS mid,
+                    ln(list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2)))) - (lo + hi) / 2 * list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2) * ln(x))) / list_sum(list_transform(ps, lambda x: pow(x, (lo + hi) / 2))) >= 0.97 * ln(len(ps)) AS ok
+                    FROM h, (SELECT list(p) AS ps FROM p)) WHERE step < 40),
+             o(step, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+                SELECT step + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (SELECT step, lo, hi, (lo + hi) / 2 AS mid, pow(a / b, 1 - (lo + hi) / 2) > 4 AS ok FROM o, (SELECT max(p) AS a, min(p) AS b FROM p)) WHERE step < 40),
+             m AS (SELECT CASE WHEN (SELECT count(*) FROM p) <= 1 THEN 1.0 ELSE greatest((SELECT round(hi, 6) FROM h WHERE step = 40), (SELECT round(hi, 6) FROM o WHERE step = 40)) END AS alpha),
+             w AS (SELECT z.source, z.tokens, z.docs, alpha, coalesce(pow(p.p, alpha) / sum(pow(p.p, alpha)) OVER (), 0) AS weight, (SELECT sum(tokens) * max(p) FROM p) / (pow((SELECT max(p) FROM p), alpha) / sum(pow(p.p, alpha)) OVER ()) AS budget FROM z LEFT JOIN p USING (source), m),
+             g AS (SELECT *, floor(round(weight * budget, 3))::BIGINT AS part FROM w),
+             e AS (SELECT d.*, g.tokens, g.part, (SELECT greatest(1, ceil(sum(part) / 1048576.0))::BIGINT FROM g) AS blocks, greatest(1, ceil(g.docs / 256.0))::BIGINT AS buckets,
+                          unnest(range(CASE WHEN g.tokens > 0 THEN greatest(1, (g.part + g.tokens - 1) // g.tokens) ELSE 1 END))::INT AS epoch FROM d JOIN g USING (source)),
+             k AS (SELECT *, ('0x' || substr(md5('mix:' || doc_id || ':' || n_tokens || ':' || epoch), 1, 15))::BIGINT AS key FROM e),
+             s AS (SELECT *, epoch * tokens + sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key % buckets, key, doc_id)::BIGINT - n_tokens AS spent FROM k)
+        SELECT doc_id, source, n_tokens, epoch, greatest(0, least(floor(spent / greatest(part, 1)::DOUBLE * blocks), blocks - 1))::BIGINT AS block,
+               ('0x' || substr(md5('mix/place:' || doc_id || ':' || epoch), 1, 15))::BIGINT AS place
+        FROM s WHERE spent < part OR (n_tokens = 0 AND epoch = 0)""",
+    "op7_ngram_jaccard_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS ws FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+             l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+             r(id, here) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON r.here = l.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(here) FROM r WHERE id = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id)""",
     "op10_embedding_near_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
              l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, chunks, components, joined, lowered, mix, mix1, partitions, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
+from tidewell.llm.common import U64, chunks, components, cut, joined, lowered, mix, mix1, partitions, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
 
 #: Sets in a block, and n-grams in a fragment when overlaps are counted.
 BLOCK, COLUMNS = 128, 16384
@@ -327,7 +327,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     rows = stored(docs.mapInArrow(_names(n), "doc_id long, n long, hi long, lo long"), "sets")
     common = spark.sparkContext.broadcast(frequent(docs, n))  # 8 bytes each, FREQUENT at most
     same = ["n", "hi", "lo"]
-    reps = rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    reps = cut(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))  # written, so that joins with it can split a hot set
     # all but later copies: these are few, as a rule, and leave the texts where they are
     copies = rows.join(reps, same).where("doc_id != rep").select("doc_id").distinct()
     keys = joined(docs.where("doc_id is not null"), copies, "doc_id", "left_anti").mapInArrow(_keys(n, num, den, common), "key long, rep long")
