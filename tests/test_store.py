@@ -52,4 +52,4 @@ def test_commands(spark, tmp_path):
     assert engine.setting("priority/z0") == 3.0 and engine.setting("other", 1) == 1
     page = engine.recording_rows(1, 19_724, limit=5)
     assert page.count() <= 5 and page.columns[0] == "start_ms"
-    assert engine.series([1], [0, 1], 10**13, 10**6).count() > 0 and engine.recording_days(1).count() > 0
+    assert engine.series([1], [0, 1], 10**13, 10**7).count() > 0 and engine.recording_days(1).count() > 0
