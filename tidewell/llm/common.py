@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that a kernel works on at once; its arrays take about sixty times as much.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,7 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 #: The most rows of a few numbers each that are broadcast (about 20 MB); beyond that, the other side is shuffled.
 BROADCAST = 400_000
 #: Documents in an Arrow batch, so that two Python workers and their executor stay small; a lower setting of the session stays.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def joined(big: DataFrame, few: DataFrame, on: str, how: str) -> DataFrame:
@@ -59,6 +61,18 @@ def joined(big: DataFrame, few: DataFrame, on: str, how: str) -> DataFrame:
     return big.join(F.broadcast(few) if few.count() <= BROADCAST else few, on, how)
 
 
+def arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow whose tasks give freed memory back to the system, as idle Python workers stay beside the executor."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(tidied, schema)
+
+
 def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:

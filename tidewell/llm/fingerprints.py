@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, chunks, lowered, mix, mix1, partitions, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
+from tidewell.llm.common import U64, arrow, chunks, lowered, mix, mix1, partitions, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
 
 BITS = 128
 #: A term of so many bytes or more has the full weight.
@@ -131,7 +131,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     sent = F.struct(before_of.alias("to"), F.lit(True).alias("ahead"))
     rows = docs.withColumn("at", F.explode(F.when(F.col("key") == first_of, F.array(here, sent)).otherwise(F.array(here)))).select("at.to", "at.ahead", "doc_id", "text", "key")
     rows = rows.repartition(parts, "to").sortWithinPartitions("to", "ahead", F.desc("key"), "text").select("to", "ahead", "doc_id", "text")
-    return rows.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.transform(arrow, _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def within_radius(queries: DataFrame, index: DataFrame) -> DataFrame:

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import prefix_hash, slice_hash, small_batches
+from tidewell.llm.common import arrow, prefix_hash, slice_hash, small_batches
 
 BITS = 17
 PER_LANG, PIECES, WORDS, EPOCHS, RATE, DECAY = 500, 6, 24, 3, 0.3, 1e-5
 #: Words that forward-backward takes at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 #: Bytes of text whose features are made at once.
 FEATURED = 1 << 19
 UNKNOWN = "und"
@@ -274,7 +274,7 @@ def predicted(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             names, scores = given.value.predict(batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    return columns.mapInArrow(run, schema)
+    return columns.transform(arrow, run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

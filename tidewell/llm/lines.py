@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, partitions, small_batches, stored
+from tidewell.llm.common import arrow, cut, partitions, small_batches, stored
 
 MIN_UNITS, UNIT_WORDS = 4, 16
 
@@ -67,7 +67,7 @@ def repeated_runs(docs: DataFrame, min_units: int = MIN_UNITS, unit_words: int =
     """(doc_id, line, last): windows of lines, both ends included, that are a later copy of a run of min_units units (a power of two)."""
     if min_units < 1 or min_units & (min_units - 1):
         raise ValueError("min_units has to be a power of two")
-    units = stored(docs.select("doc_id", "text").mapInArrow(_units(min_units, unit_words), "doc_id long, at int, hi long, lo long, line int, last int"), "units")
+    units = stored(docs.select("doc_id", "text").transform(arrow, _units(min_units, unit_words), "doc_id long, at int, hi long, lo long, line int, last int"), "units")
     suffixes, span = _ranked(units, "hi", "lo"), 1
     while span < min_units:
         suffixes = stored(suffixes.drop("first"), "suffixes")
@@ -111,4 +111,4 @@ def without_repeated_lines(docs: DataFrame, *keep: str, min_units: int = MIN_UNI
     rows = docs.select(*keep, F.col("text").alias("__text"), F.col("doc_id").alias("__id"))
     rows = rows.join(spans, F.col("__id") == F.col("__doc"), "left").select(*keep, "__text", "__spans")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), "text string, n_lines long, n_removed long, n_runs long"])
-    return rows.mapInArrow(_cut_texts(len(keep)), schema)
+    return rows.transform(arrow, _cut_texts(len(keep)), schema)

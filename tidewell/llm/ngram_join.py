@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, chunks, components, cut, joined, lowered, mix, mix1, partitions, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
+from tidewell.llm.common import U64, arrow, chunks, components, cut, joined, lowered, mix, mix1, partitions, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
 
 #: Sets in a block, and n-grams in a fragment when overlaps are counted.
 BLOCK, COLUMNS = 128, 16384
@@ -170,7 +170,7 @@ def _grams(n: int):
 def frequent(docs: DataFrame, n: int) -> np.ndarray:
     """N-grams that OFTEN or more of a sample of about SAMPLED documents have, the most frequent FREQUENT at most. They only shape the candidates."""
     total = docs.count()
-    some = docs.select("text").sample(min(1.0, SAMPLED / max(total, 1)), 23).mapInArrow(_grams(n), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    some = docs.select("text").sample(min(1.0, SAMPLED / max(total, 1)), 23).transform(arrow, _grams(n), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
     found = some.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").toPandas()["gram"].to_numpy(np.int64)
     return np.sort(found.view(U64))
 
@@ -324,18 +324,18 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     parts = partitions(spark)
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    rows = stored(docs.mapInArrow(_names(n), "doc_id long, n long, hi long, lo long"), "sets")
+    rows = stored(docs.transform(arrow, _names(n), "doc_id long, n long, hi long, lo long"), "sets")
     common = spark.sparkContext.broadcast(frequent(docs, n))  # 8 bytes each, FREQUENT at most
     same = ["n", "hi", "lo"]
     reps = cut(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))  # written, so that joins with it can split a hot set
     # all but later copies: these are few, as a rule, and leave the texts where they are
     copies = rows.join(reps, same).where("doc_id != rep").select("doc_id").distinct()
-    keys = joined(docs.where("doc_id is not null"), copies, "doc_id", "left_anti").mapInArrow(_keys(n, num, den, common), "key long, rep long")
-    edges = keys.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_stars, "a long, b long")
+    keys = joined(docs.where("doc_id is not null"), copies, "doc_id", "left_anti").transform(arrow, _keys(n, num, den, common), "key long, rep long")
+    edges = keys.repartition(parts, "key").sortWithinPartitions("key", "rep").transform(arrow, _stars, "a long, b long")
     near = components(edges)
     sized = near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("id").alias("doc_id"), "component", "size")
-    blocks = joined(docs, sized, "doc_id", "inner").select("doc_id", "text", "component", "size").mapInArrow(_blocks(n), "group long, low long, high long, id long, upper boolean, set binary")
-    links = blocks.repartition(parts, "group", "low", "high").sortWithinPartitions("group", "low", "high").mapInArrow(_compared(num, den), "a long, b long")
+    blocks = joined(docs, sized, "doc_id", "inner").select("doc_id", "text", "component", "size").transform(arrow, _blocks(n), "group long, low long, high long, id long, upper boolean, set binary")
+    links = blocks.repartition(parts, "group", "low", "high").sortWithinPartitions("group", "low", "high").transform(arrow, _compared(num, den), "a long, b long")
     classes = rows.select("doc_id", *same).join(reps.select(*same, "rep"), same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     return classes, components(links)
 

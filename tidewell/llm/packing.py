@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewell.llm.common import U64, chunks, cut, prefix_hash, slice_hash, small_batches, stored, text_of
+from tidewell.llm.common import U64, arrow, chunks, cut, prefix_hash, slice_hash, small_batches, stored, text_of
 
 #: Parts in which pieces of one length are numbered, so that no task gets all documents of a common length.
 SALTS = 64
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 #: Bytes of text that are split at once, and new words that are encoded in one call.
-SPLIT, ENCODED = 1 << 21, 8192
+SPLIT, ENCODED = 1 << 20, 8192
 
 
 class FreeSpace:
@@ -195,8 +195,8 @@ def _pieces(path: str, capacity: int, end: int):
         tail = np.array([end], "<u4")
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for lo in range(0, batch.num_rows, 1024):
-                for k, found in enumerate(known.of(batch.column(1).slice(lo, 1024))):
+            for lo in range(0, batch.num_rows, 512):
+                for k, found in enumerate(known.of(batch.column(1).slice(lo, 512))):
                     whole = np.concatenate([found, tail])
                     for piece, at in enumerate(range(0, len(whole), capacity)):
                         part = whole[at : at + capacity]
@@ -210,7 +210,7 @@ def _pieces(path: str, capacity: int, end: int):
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1) -> DataFrame:
     """The documents' token sequences, each closed by the id `end` and cut into pieces of capacity ids; the last may be shorter."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").transform(arrow, _pieces(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(found: DataFrame, capacity: int = 4096) -> DataFrame:

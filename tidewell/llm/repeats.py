@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, chunks, mix, partitions, prefix_hash, slice_hash, small_batches, stored, text_of
+from tidewell.llm.common import U64, arrow, chunks, mix, partitions, prefix_hash, slice_hash, small_batches, stored, text_of
 
 #: Documents from which splitters are sampled, and suffixes of each.
 SAMPLED, OF_EACH = 4096, 16
 #: Windows that a task sorts at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 
 SUFFIX = np.dtype([("gram", "<u8"), ("region", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("left", "<u2"), ("more", "<u2")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
@@ -356,13 +356,13 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     n, parts = docs.count(), partitions(spark)
-    some = docs.sample(min(1.0, SAMPLED / max(n, 1)), 17).limit(4 * SAMPLED).mapInArrow(_sample(length), "gram long")
+    some = docs.sample(min(1.0, SAMPLED / max(n, 1)), 17).limit(4 * SAMPLED).transform(arrow, _sample(length), "gram long")
     grams = np.sort(np.array([r[0] for r in some.collect()], np.int64).view(U64))
     splitters = np.unique(grams[np.arange(1, parts) * len(grams) // parts]) if len(grams) else np.zeros(0, U64)
-    marks = stored(docs.mapInArrow(_suffixes(length, splitters), "range int, kind int, records binary").repartition(parts, "range").mapInArrow(_sorted(length), "kind int, doc_id long, start int, left int, more int"), "suffixes")
+    marks = stored(docs.transform(arrow, _suffixes(length, splitters), "range int, kind int, records binary").repartition(parts, "range").transform(arrow, _sorted(length), "kind int, doc_id long, start int, left int, more int"), "suffixes")
     open_ = marks.where("kind = 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "left", "more")).alias("regions"))
-    windows = docs.join(open_, "doc_id").select("doc_id", "text", "regions").mapInArrow(_windows(length, parts), "range int, records binary, bytes binary")
-    later = windows.repartition(parts, "range").mapInArrow(_compared(length), "kind int, doc_id long, start int, left int, more int")
+    windows = docs.join(open_, "doc_id").select("doc_id", "text", "regions").transform(arrow, _windows(length, parts), "range int, records binary, bytes binary")
+    later = windows.repartition(parts, "range").transform(arrow, _compared(length), "kind int, doc_id long, start int, left int, more int")
     return marks.where("kind = 1").union(stored(later, "windows")).select("doc_id", "start", F.col("left").alias("end"))
 
 
@@ -375,4 +375,4 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     the order: it loses nothing and takes nothing from others. An empty table gives an empty result.
     """
     spans = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans").transform(arrow, _cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

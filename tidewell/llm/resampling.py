@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, chunks, lowered, mix, mix1, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
+from tidewell.llm.common import U64, arrow, chunks, lowered, mix, mix1, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
 
 SLOTS, TERMS = 1 << 14, 64
 #: The most target texts that the target's model is fitted on, and the share of documents that is sampled.
@@ -55,7 +55,7 @@ def log_ratios(docs: DataFrame, target: DataFrame) -> np.ndarray:
     """The log ratio of each slot's shares; target is (doc_id), at most TARGETS rows of which count."""
     ids = target.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGETS)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("chosen", F.lit(True))), "doc_id", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
-    found = rows.mapInArrow(_counts, "slot long, n_all long, n_target long").groupBy("slot").agg(F.sum("n_all").alias("a"), F.sum("n_target").alias("t")).collect()
+    found = rows.transform(arrow, _counts, "slot long, n_all long, n_target long").groupBy("slot").agg(F.sum("n_all").alias("a"), F.sum("n_target").alias("t")).collect()
     every, wanted = np.ones(SLOTS), np.ones(SLOTS)
     for r in found:
         every[r["slot"]] += r["a"]
@@ -125,6 +125,6 @@ def resampled(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: in
     spark = docs.sparkSession
     small_batches(spark)
     given = spark.sparkContext.broadcast(log_ratios(docs, target))
-    rows = stored(docs.select("doc_id", "text").mapInArrow(_scored(given, seed), "doc_id long, n_terms long, log_weight double, key long"), "weights")
+    rows = stored(docs.select("doc_id", "text").transform(arrow, _scored(given, seed), "doc_id long, n_terms long, log_weight double, key long"), "weights")
     least = kth_largest(rows, "key", int(share * rows.count()))
     return rows.select("doc_id", "n_terms", "log_weight", (F.lit(False) if least is None else F.col("key") >= F.lit(least)).alias("selected"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, components, cut, mix, partitions, stored
+from tidewell.llm.common import U64, arrow, components, cut, mix, partitions, stored
 from tidewell.llm.ngram_join import forest
 
 #: Vectors in a cell that are aimed at, the most centroids in all (they are broadcast), vectors to fit each of them on, rounds of k-means.
@@ -173,7 +173,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, margin: float |
     parts = partitions(spark)
     margin = math.sqrt(max(0.0, 1 - threshold) / 2) if margin is None else margin
     label_type = vectors.schema["label"].dataType.simpleString()
-    rows = stored(vectors.select("vec_id", "label", F.col("embedding").cast("array<double>")).mapInArrow(_classes, f"vec_id long, label {label_type}, key binary, dim int, unit binary"), "vectors")
+    rows = stored(vectors.select("vec_id", "label", F.col("embedding").cast("array<double>")).transform(arrow, _classes, f"vec_id long, label {label_type}, key binary, dim int, unit binary"), "vectors")
     same = ["label", "dim", "key"]
     reps = cut(rows.where("key is not null and label is not null").groupBy(*same).agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")).where("id is not null"))
     sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CELL).orderBy(F.desc("size")).limit(CENTROIDS).collect()
@@ -188,11 +188,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, margin: float |
             seen.setdefault((r["label"], r["dim"]), []).append(np.frombuffer(r["unit"], np.float64))
         given = {k: spherical_kmeans(np.stack(x), cells[k]) for k, x in seen.items() if len(x) > cells[k]}
     given = spark.sparkContext.broadcast(given)
-    placed = cut(reps.select("id", "label", "dim", "n", "unit").mapInArrow(_cells(given, margin), f"id long, label {label_type}, dim int, n long, unit binary, cell int, home int"))
+    placed = cut(reps.select("id", "label", "dim", "n", "unit").transform(arrow, _cells(given, margin), f"id long, label {label_type}, dim int, n long, unit binary, cell int, home int"))
     counts = placed.groupBy("label", "dim", "cell").agg(F.sum((F.col("cell") == F.col("home")).cast("long")).alias("homes"), F.sum((F.col("cell") != F.col("home")).cast("long")).alias("guests"))
-    blocks = placed.join(counts, ["label", "dim", "cell"]).mapInArrow(_blocks, f"label {label_type}, dim int, cell int, low long, high long, upper boolean, id long, n long, home int, unit binary")
+    blocks = placed.join(counts, ["label", "dim", "cell"]).transform(arrow, _blocks, f"label {label_type}, dim int, cell int, low long, high long, upper boolean, id long, n long, home int, unit binary")
     key = ["label", "dim", "cell", "low", "high"]
-    found = stored(blocks.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_compared(given, threshold, margin), "kind long, a long, b long"), "links")
+    found = stored(blocks.repartition(parts, *key).sortWithinPartitions(*key).transform(arrow, _compared(given, threshold, margin), "kind long, a long, b long"), "links")
     joined = components(found.where("kind = 0").select("a", "b"))
     links = found.where("kind = 1").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("linked"))
     classes = reps.select(*same, "id", "n").join(links, "id", "left").join(joined, "id", "left")

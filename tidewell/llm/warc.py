@@ -19,7 +19,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import partitions, shared_dir, small_batches, stored
+from tidewell.llm.common import arrow, partitions, shared_dir, small_batches, stored
 
 DATE = "2024-01-01T00:00:00Z"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -192,12 +192,12 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame
     revisits = narrow.join(firsts.select("sha256", "first"), "sha256").where("page_id is null or page_id != first").distinct()
     revisits = revisits.select(F.col("sha256").alias("sha256_"), F.col("page_id").alias("page_id_"), "first")
     rows = pages.join(revisits, [F.col("sha256") == F.col("sha256_"), F.col("page_id").eqNullSafe(F.col("page_id_"))], "left").select("page_id", "url", "html", "sha256", "first")
-    return stored(rows.sortWithinPartitions("page_id").mapInArrow(_write(folder), "path string, records long, bytes long"), "archives")
+    return stored(rows.sortWithinPartitions("page_id").transform(arrow, _write(folder), "path string, records long, bytes long"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) for each record of archives (path, records); each file is read front to back."""
-    return archives.select("path", "records").repartition(partitions(archives.sparkSession), F.xxhash64("path")).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("path", "records").repartition(partitions(archives.sparkSession), F.xxhash64("path")).transform(arrow, _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
