@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import histograms as hg
 from tidewell.operators import intervals as iv
+from tidewell.operators import spans as sp
 from tidewell.plans.registry import query
 from tidewell.plans.signals import GATES, islands, picked, vectors
 from tidewell.plans.statistics import LAST, LHIST, PIECES, labelled, last_label
@@ -292,3 +293,17 @@ def presence_shift(spark: SparkSession, sf: str) -> DataFrame:
     """What lowering the threshold step by step saves and costs."""
     rows = crossing(spark, sf).where("threshold between 20 and 40")
     return rows.select("device", "threshold", (40 - F.col("threshold")).alias("shift"), "missed", "false_")
+
+
+_CONF = "SELECT device, pattern, count(*) FILTER (present AND hit) AS tp, count(*) FILTER (present AND NOT hit) AS fn, count(*) FILTER (NOT present AND hit) AS fp, count(*) FILTER (NOT present AND NOT hit) AS tn FROM (SELECT device, pattern, state = 'present' AS present, " + " OR ".join(f"coalesce({g} > thresholds[{k + 1}] AND thresholds[{k + 1}] < 100, false)" for k, g in enumerate(GATES)) + " AS hit FROM pu, pat) GROUP BY device, pattern"
+
+
+@query(with_views("SELECT *, round(tp / greatest(tp + fn, 1)::DOUBLE, 6)::DOUBLE AS sensitivity, round(fp / greatest(fp + tn, 1)::DOUBLE, 6)::DOUBLE AS false_rate FROM cf", **PURE, cf=_CONF))
+def confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of each class that each pattern detects, or not."""
+    hit = sp.any_above(GATES, [F.element_at("thresholds", k + 1) for k in range(len(GATES))])
+    rows = pure(spark, sf).crossJoin(F.broadcast(ad.patterns(spark))).select("device", "pattern", (F.col("state") == "present").alias("p"), hit.alias("h"))
+    count = lambda c: F.count(F.when(c, 1))
+    rows = rows.groupBy("device", "pattern").agg(count(F.col("p") & F.col("h")).alias("tp"), count(F.col("p") & ~F.col("h")).alias("fn"), count(~F.col("p") & F.col("h")).alias("fp"), count(~F.col("p") & ~F.col("h")).alias("tn"))
+    share = lambda a, b: F.round(F.col(a) / F.greatest(F.col(a) + F.col(b), F.lit(1)), 6)
+    return rows.withColumns({"sensitivity": share("tp", "fn"), "false_rate": share("fp", "tn")})

@@ -361,3 +361,19 @@ def trimmed_periods(spark: SparkSession, sf: str) -> DataFrame:
     """Positive periods of an outside source without their first and last minutes."""
     runs = iv.union(ad.labels(spark, sf).where("source = 'sensor' and state = 'present'"), ["device"])
     return runs.where(F.col(E) - F.col(S) > 25 * MINUTE).select("device", (F.col(S) + 10 * MINUTE).alias(S), (F.col(E) - 15 * MINUTE).alias(E))
+
+
+@query(with_views(picked(f"SELECT device, state, greatest(start_ms, {NOW - 10 * DAY}) AS start_ms, end_ms FROM lab WHERE source = 'manual' AND state <> 'unknown' AND end_ms > {NOW - 10 * DAY}", "SELECT device, 'present' AS state, start_ms, end_ms FROM gs UNION ALL SELECT device, 'not_present', start_ms, end_ms FROM gs", "device, state", "a > 0 AND b > 0")))
+def truth_variant(spark: SparkSession, sf: str) -> DataFrame:
+    """Truth restricted to pieces: human only, since a cutoff, inside given intervals."""
+    since = ad.labels(spark, sf).where((F.col("source") == "manual") & (F.col("state") != "unknown") & (F.col(E) > NOW - 10 * DAY)).withColumn(S, F.greatest(F.col(S), F.lit(NOW - 10 * DAY)))
+    inside = ad.guesses(spark, sf).select("device", S, E).crossJoin(F.broadcast(spark.createDataFrame([("present",), ("not_present",)], "state string")))
+    return iv.intersect(since, inside, ["device", "state"])
+
+
+@query(with_views(picked(f"SELECT DISTINCT device, {FROM}::BIGINT AS start_ms, {FROM + 12 * HOUR}::BIGINT AS end_ms FROM lab", "SELECT device, start_ms, end_ms FROM lab WHERE source = 'manual'", "device", "a > 0 AND b = 0")))
+def sensor_range(spark: SparkSession, sf: str) -> DataFrame:
+    """What a sensor may label of twelve hours: all that no human has (L4)."""
+    rows = ad.labels(spark, sf)
+    wanted = rows.select("device").distinct().withColumns({S: F.lit(FROM), E: F.lit(FROM + 12 * HOUR)})
+    return iv.subtract(wanted, rows.where("source = 'manual'"), ["device"])
