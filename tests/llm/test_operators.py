@@ -402,6 +402,13 @@ def test_join_hard(hard, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_join_with_a_repeated_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(2, a), (5, a), (5, b), (7, b + " more"), (9, "other words here")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in rows_of(ngram_join.jaccard_components(table(spark, rows)))}
+    assert got[5, 56] == got[7, 57] == got[2, 56] == 2 and got[9, 1] == 9
+
+
 # ------------------------------------------------------------------ 8 resampling
 
 

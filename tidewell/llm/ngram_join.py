@@ -329,7 +329,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     same = ["n", "hi", "lo"]
     reps = cut(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))  # written, so that joins with it can split a hot set
     # all but later copies: these are few, as a rule, and leave the texts where they are
-    copies = rows.join(reps, same).where("doc_id != rep").select("doc_id").distinct()
+    copies = rows.join(reps, same).where("doc_id != rep").select("doc_id").distinct().join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     keys = joined(docs.where("doc_id is not null"), copies, "doc_id", "left_anti").transform(arrow, _keys(n, num, den, common), "key long, rep long")
     edges = keys.repartition(parts, "key").sortWithinPartitions("key", "rep").transform(arrow, _stars, "a long, b long")
     near = components(edges)
@@ -346,7 +346,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct runs of n words, or the whole
     sequence where there are fewer. component_id is the smallest doc_id reachable over links, the row's own included. Null and
     empty texts, and texts of white space, have 0 shingles and are alone. Rows with equal texts are one class; repeated rows each give a
-    row; rows of one doc_id with different texts count as one node. A null doc_id is linked with nothing of its own: such a row gets its
+    row; rows that share a doc_id but not the text each get their own text's component, and classes that one doc_id represents are one. A null doc_id is linked with nothing of its own: such a row gets its
     class's component, or null. An empty table gives an empty result.
     """
     classes, labels = jaccard_links(docs, n, num, den)
