@@ -28,6 +28,8 @@ from tidewell.llm.common import U64, arrow, chunks, mix, partitions, prefix_hash
 
 #: Documents from which splitters are sampled, and suffixes of each.
 SAMPLED, OF_EACH = 4096, 16
+#: Ranges for each shuffle partition: these are dealt out by hash, and many small ones even out.
+RANGES = 4
 #: Windows that a task sorts at once.
 AT_ONCE = 1 << 19
 
@@ -356,12 +358,13 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     n, parts = docs.count(), partitions(spark)
+    ranges = RANGES * parts
     some = docs.sample(min(1.0, SAMPLED / max(n, 1)), 17).limit(4 * SAMPLED).transform(arrow, _sample(length), "gram long")
     grams = np.sort(np.array([r[0] for r in some.collect()], np.int64).view(U64))
-    splitters = np.unique(grams[np.arange(1, parts) * len(grams) // parts]) if len(grams) else np.zeros(0, U64)
+    splitters = np.unique(grams[np.arange(1, ranges) * len(grams) // ranges]) if len(grams) else np.zeros(0, U64)
     marks = stored(docs.transform(arrow, _suffixes(length, splitters), "range int, kind int, records binary").repartition(parts, "range").transform(arrow, _sorted(length), "kind int, doc_id long, start int, left int, more int"), "suffixes")
     open_ = marks.where("kind = 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "left", "more")).alias("regions"))
-    windows = docs.join(open_, "doc_id").select("doc_id", "text", "regions").transform(arrow, _windows(length, parts), "range int, records binary, bytes binary")
+    windows = docs.join(open_, "doc_id").select("doc_id", "text", "regions").transform(arrow, _windows(length, ranges), "range int, records binary, bytes binary")
     later = windows.repartition(parts, "range").transform(arrow, _compared(length), "kind int, doc_id long, start int, left int, more int")
     return marks.where("kind = 1").union(stored(later, "windows")).select("doc_id", "start", F.col("left").alias("end"))
 
