@@ -461,6 +461,54 @@ def test_fingerprints(spark, hard, empty):
     assert rows_of(fingerprints.fingerprinted(table(spark, [(1, "abcdef")])))[0]["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest()
 
 
+@pytest.mark.parametrize("words", [60, 300])
+def test_fingerprints_find_near_copies(spark, words):
+    """Planted copies with a five-word Jaccard similarity of 0.8 to 0.95: scattered words, a block of words, or an end that is new."""
+    rng = random.Random(words)
+    vocabulary = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    new = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    runs = lambda own: {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+    docs = []
+    while len(docs) < 300:
+        own, kind, n = new(words), len(docs) // 2 % 3, rng.randint(1, words // 6)
+        other, at = list(own), rng.randrange(words - n)
+        if kind == 0:
+            for _ in range(max(1, n // 8)):
+                other[rng.randrange(words)] = rng.choice(vocabulary)
+        elif kind == 1:
+            other[at : at + n] = new(n)
+        else:
+            other += new(n)
+        a, b = runs(own), runs(other)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.95:
+            docs += [(len(docs), " ".join(own)), (len(docs) + 1, " ".join(other))]
+    got = [r["n_near"] for r in rows_of(fingerprints.fingerprinted(table(spark, docs), every=1))]
+    assert max(got) == 1 and np.mean(got) > 0.93
+
+
+def test_fingerprints_radius_is_exact(spark):
+    """Pairs RADIUS bits apart are found however the bits lie, those one bit further are not, and rows of one fingerprint all count."""
+    rng = np.random.default_rng(9)
+    asked, stock, want = [], [], []
+    for k in range(200):
+        own = rng.integers(0, 2, 128)
+        first = np.array([rng.permutation(16) for _ in range(8)]) + 16 * np.arange(8)[:, None]
+        flip = first[:, :3].ravel()[1:] if k % 2 else rng.permutation(128)[: fingerprints.RADIUS]
+        rest = np.setdiff1d(np.arange(128), flip)[0]
+        far = own.copy()
+        far[flip] ^= 1
+        beyond = far.copy()
+        beyond[rest] ^= 1
+        name = lambda x: np.packbits(x).tobytes().hex()
+        asked.append((name(own),))
+        stock += [(name(far),)] * (1 + k % 3) + [(name(beyond),)]
+        want.append((name(own), 1 + k % 3))
+    got = fingerprints.within_radius(spark.createDataFrame(asked, "fingerprint string"), spark.createDataFrame(stock, "fingerprint string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    none = spark.createDataFrame([], "fingerprint string")
+    assert fingerprints.within_radius(none, none).count() == 0 and fingerprints.within_radius(spark.createDataFrame(asked, "fingerprint string"), none).count() == 0
+
+
 # ------------------------------------------------------------------ 10 vectors
 
 
