@@ -6,6 +6,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from tidewell.operators import intervals as iv
 from tidewell.operators import labels as lb
 from tidewell.operators import spans as sp
 from tidewell.plans import catalog
+from tidewell.plans.learning import GATES, _fitted
 from tidewell.sources import adapter as ad
 from tidewell.streaming import live
 
@@ -169,6 +171,16 @@ def test_scan_reads_only_what_it_needs(spark):
     assert "props" not in plan
 
 
+def test_fit_has_gap_centre_seed_and_repair():
+    """The gate that tells is put in the middle of its gap; gates that a move crosses nothing of keep the pattern in use."""
+    quiet = [(0, "not_present", 10, 2, None, None, None, 60), (0, "not_present", 4, 3, None, None, None, 40)]
+    rows = pd.DataFrame([*quiet, (0, "present", 90, 2, None, None, None, 50), (0, "present", 80, 3, None, None, None, 50)], columns=["device", "state", *GATES, "n"])
+    got = _fitted(rows)
+    assert got["thresholds"][0] == [45, 40, 40, 40, 40] and got["cost"][0] == 0
+    one = _fitted(rows[rows["state"] == "present"].reset_index(drop=True))
+    assert one["cost"][0] == 0
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -206,7 +206,7 @@ _RUN = "SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY device)
 
 @query(with_views("SELECT device, arg_min(end_ms, struct_pack(a := abs(5 * n - 4 * total), b := end_ms)) AS cut_ms FROM rn WHERE p > 0 AND pt - p > 0 AND n - p > 0 AND total - n - (pt - p) > 0 GROUP BY device", pm=PM, hm=MANUAL, rn=_RUN))
 def chronological_split(spark: SparkSession, sf: str) -> DataFrame:
-    """The cut nearest to four fifths of the episodes that leaves both states on both sides."""
+    """The cut nearest to four fifths of the episodes that leaves both states on both sides."""
     rows = last_label(ad.labels(spark, sf).where("source = 'manual'"), ["device"]).where("state != 'unknown'")
     all_, line = Window.partitionBy("device"), Window.partitionBy("device").orderBy(S)
     yes = F.count(F.when(F.col("state") == "present", 1))
