@@ -3,7 +3,7 @@
 language   a document goes if no language is found in it, or none with a score of LEAST (op4's operator)
 lines      repeated line runs go; a document of nothing but such runs goes with them (op1's)
 near       of each group of documents with similar word n-grams the one with the smallest doc_id stays (op7's); rows without an
-           id go
+           id come after all others, and of rows with one id only copies go
 mixture    documents of small sources are repeated to meet the target weights; each is used at least once (op3's)
 packing    token sequences of at most CAPACITY ids (op5's); returns a row for each piece
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import entry, langid, lines, mixing, ngram_join, packing
-from tidewell.llm.common import joined, shared_dir
+from tidewell.llm.common import joined, shared_dir, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST, CAPACITY = 0.4, 4096
@@ -36,12 +36,21 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a number of their own, in the order of doc_id, those without one last, and text; of rows with one doc_id and one text one is left."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = docs.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", *[F.col("rest")[c].alias(c) for c in rest])
+    rows = once.unionByName(docs.where("doc_id is null")).orderBy(F.asc_nulls_last("doc_id"), "text", *rest)
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the group's smallest doc_id (of repeated rows, one)."""
-    found = ngram_join.jaccard_components(docs)
-    kept = joined(docs.where("doc_id is not null"), found.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return (kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])).select(*docs.columns)
+    """One row of each group: that of the smallest doc_id, or of the smallest text where rows share it. Rows are told apart by doc_id where that is possible."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    rows = docs.withColumn("row", F.col("doc_id")) if odd.isEmpty() else _numbered(docs)
+    found = ngram_join.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"))
+    copies = found.where("doc_id != component_id").select(F.col("doc_id").alias("row")).distinct()
+    return joined(rows, copies, "row", "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

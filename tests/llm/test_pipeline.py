@@ -35,3 +35,23 @@ def test_run_on_hard_cases_and_nothing(spark, tmp_path):
     table(spark, docs).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/some/documents.parquet")
     got = collections.Counter(r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect())
     assert got and set(got) <= {d for d, *_ in docs}
+
+
+def test_near_decides_by_row(spark, tmp_path):
+    """Rows without an id and unlike texts under one id stay unless they are copies; which row of a group stays does not depend on the order of the rows."""
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    docs = [(1, a), (2, b), (2, a), (3, c), (3, d), (3, d), (4, d + " x"), (None, e), (None, e), (None, b + " y"), (None, "f g h"), (5, ""), (5, ""), (None, "")]
+    want = collections.Counter([(1, a), (2, b), (3, c), (3, d), (None, e), (None, "f g h"), (5, ""), (None, "")])
+    for rows in (docs, docs[::-1]):
+        got = corpus_pipeline.near_copies(spark, table(spark, rows).select(*corpus_pipeline.COLUMNS), str(tmp_path)).collect()
+        assert collections.Counter((r["doc_id"], r["text"]) for r in got) == want
+
+
+def test_rows_without_id_reach_the_end(spark, tmp_path):
+    docs = [(k if k % 10 else None, t, lang, "s") for k, t, lang in language_docs(60)]
+    now, number = table(spark, docs).select(*corpus_pipeline.COLUMNS), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        number[name] = now.where("doc_id is null").count()
+    assert number["near"] and number["mixture"] >= number["near"] and number["packing"] >= number["mixture"]
