@@ -53,6 +53,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 BROADCAST = 400_000
 #: Documents in an Arrow batch, so that two Python workers and their executor stay small; a lower setting of the session stays.
 BATCH_ROWS = 1000
+#: Bytes of such a batch; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def joined(big: DataFrame, few: DataFrame, on: str, how: str) -> DataFrame:
@@ -74,9 +76,10 @@ def arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
