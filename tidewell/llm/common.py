@@ -57,9 +57,9 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 
-def joined(big: DataFrame, few: DataFrame, on: str, how: str) -> DataFrame:
+def joined(big: DataFrame, few: DataFrame, on: str | list[str], how: str, written: bool = False) -> DataFrame:
     """A join of texts with a narrow table, which is written and counted first: broadcast up to BROADCAST rows, else a shuffle of both sides."""
-    few = cut(few)
+    few = few if written else cut(few)
     return big.join(F.broadcast(few) if few.count() <= BROADCAST else few, on, how)
 
 
@@ -182,30 +182,74 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def blank_parts(data: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """A text in parts of about most bytes that end behind white space, before an ASCII character; a longer word is in one part."""
+    first, n = 0, len(data)
+    while first < n:
+        after, at = min(n, first + most), first
+        while after < n:
+            blank = np.flatnonzero(SPACE[data[at:after]] & (data[at + 1 : after + 1] < 128))
+            if len(blank):
+                after = at + int(blank[-1]) + 1
+                break
+            at, after = after, min(n, after + most)
+        yield first, after
+        first = after
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and sizes of the words of some texts, A-Z lower-cased, and for each text the number of the first word (one more at the end).
+
+    A text beyond two chunks goes through part by part, so that only arrays of words grow with it."""
+    if len(data) <= 2 * CHUNK:
+        own = lowered(data)
+        start, end, first = words_of(own, offsets)
+        return slice_hash(prefix_hash(own), start, end), end - start, first
+    found = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        text = data[a:b]
+        parts = [hashed_words(text[x:y], np.array([0, y - x])) if y - x <= 2 * CHUNK else _one_word(text[x:y]) for x, y in blank_parts(text)]
+        found.append([np.concatenate([np.zeros(0, t), *(p[k] for p in parts)]) for k, t in ((0, U64), (1, np.int64))])
+    first = np.concatenate(([0], np.cumsum([len(h) for h, _ in found])))
+    return np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found]), first
+
+
+def _one_word(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for a part that holds a word of more than a chunk: its hash is that of its pieces' hashes."""
+    own = lowered(data)
+    start, end, _ = words_of(own, np.array([0, len(own)]))
+    out = np.zeros(len(start), U64)
+    for k, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+        each = [slice_hash(prefix_hash(own[x : min(b, x + CHUNK)]), np.array([0]), np.array([min(b, x + CHUNK) - x]))[0] for x in range(a, b, CHUNK)]
+        out[k] = each[0]
+        for h in each[1:]:
+            out[k] = mix(out[k : k + 1] * U64(3) + h)[0]
+    return out, end - start, np.array([0, len(start)])
+
+
 # ---------------------------------------------------------------- components
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for each id in an edge the smallest id it reaches, by alternating large-star and small-star rounds.
 
-    A round joins each edge with the smallest neighbour of one end; that minimum is aggregated before the shuffle, and a hot
-    node's edges are an ordinary skewed join. No node's neighbours are ever gathered. Rounds grow with the logarithm of the
-    longest path; each ends in a checkpoint. Edges with a null end and loops count as no edge.
+    A round joins each edge with the smallest neighbour of one end. These minima are aggregated before the shuffle and written, so that the join
+    broadcasts them where they are few, and else splits a hot node's edges among tasks. No node's neighbours are ever gathered. Rounds grow
+    with the logarithm of the longest path; each ends in a checkpoint. Edges with a null end and loops count as no edge.
     """
     u, v = F.col("u"), F.col("v")
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (u != v)).distinct())
-    spark, before = now.sparkSession, None
+    before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u")
+        large = joined(both.where(v > u), least, "u", "inner").select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
+        smallest = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = joined(large, smallest, "u", "inner", written=True)
         now = cut(small.select(v.alias("u"), F.col("m").alias("v")).where(u != v).union(smallest.select("u", F.col("m").alias("v"))).distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    del spark
     ends = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     return ends.union(ends.select(F.col("component").alias("id"), "component").distinct())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, arrow, chunks, components, cut, joined, lowered, mix, mix1, partitions, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
+from tidewell.llm.common import U64, arrow, chunks, components, cut, hashed_words, joined, mix, mix1, partitions, small_batches, stored, text_of
 
 #: Sets in a block, and n-grams in a fragment when overlaps are counted.
 BLOCK, COLUMNS = 128, 16384
@@ -74,9 +74,7 @@ class Cuts:
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct n-gram hashes of some texts one after the other, and where each text's begin (one more at the end)."""
-    data = lowered(data)
-    starts, ends, first = words_of(data, offsets)
-    h = slice_hash(prefix_hash(data), starts, ends)
+    h, _, first = hashed_words(data, offsets)
     count = np.diff(first)
     if not len(h):
         return np.zeros(0, U64), np.zeros(len(count) + 1, np.int64)
@@ -238,8 +236,8 @@ def _blocks(n: int):
                 other = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 own = own.astype(np.int64)[rows]
                 sets = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * 8).astype(np.int32).tobytes()), pa.py_buffer(grams.tobytes())])
-                for lo in range(0, len(rows), 1024):
-                    r, o, i = rows[lo : lo + 1024], own[lo : lo + 1024], other[lo : lo + 1024]
+                for lo, hi in chunks(np.concatenate(([0], np.cumsum(np.diff(at)[rows] * 8 + 64)))):
+                    r, o, i = rows[lo:hi], own[lo:hi], other[lo:hi]
                     yield pa.RecordBatch.from_arrays([pa.array(group[a:b][r]), pa.array(np.minimum(o, i)), pa.array(np.maximum(o, i)), rep.take(pa.array(r)), pa.array(o > i), sets.take(pa.array(r))], names=["group", "low", "high", "id", "upper", "set"])
 
     return run
