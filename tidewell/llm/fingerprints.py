@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, arrow, chunks, lowered, mix, mix1, partitions, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
+from tidewell.llm.common import U64, arrow, chunks, hashed_words, mix, mix1, partitions, shared_dir, small_batches, stored, text_of
 
 BITS = 128
 #: A term of so many bytes or more has the full weight.
@@ -28,9 +30,12 @@ TABLES, FLIPS = 8, 2
 RADIUS = TABLES * (FLIPS + 1) - 1
 #: Lookups or candidates that are held at once.
 PAIRS = 1 << 20
+#: Queries in a block, and rows that meet a block at a time (16 bytes each).
+BLOCK, HELD = 1 << 17, 1 << 18
 #: Ranges of documents for each shuffle partition.
 RANGES = 4
 
+_FLIPPED = np.array([sum(1 << x for x in some) for n in range(FLIPS + 1) for some in itertools.combinations(range(16), n)], np.uint16)
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1).copy()
 
 
@@ -48,21 +53,28 @@ def simhash(texts: pa.Array) -> np.ndarray:
     data, offsets = text_of(texts)
     out = np.zeros((len(texts), BITS // 8), np.uint8)
     for a, b in chunks(offsets):
-        base = offsets[a : b + 1] - offsets[a]
-        own = lowered(data[offsets[a] : offsets[b]])
-        start, end, first = words_of(own, base)
-        if not len(start):
+        word, size, first = hashed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        n = len(word)
+        if not n:
             continue
-        word = slice_hash(prefix_hash(own), start, end)
-        for k, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            total = np.zeros(BITS, np.float32)
-            for run in (2, 3) if hi > lo + 1 else (1,):
-                n = hi - lo - run + 1
-                if n > 0:
-                    term = mix(sum((word[lo + j : lo + j + n] * U64(mix1(8 * run + j) | 1) for j in range(run)), np.zeros(n, U64)))
-                    bits = np.stack([term, mix(term ^ U64(0x6A09E667F3BCC909))], 1).view(np.uint8)
-                    total += votes(bits, np.minimum(end[lo + run - 1 : hi] - start[lo : lo + n], FULL).astype(np.float32) / FULL)
-            out[a + k] = np.packbits(total > 0)
+        left = np.repeat(first[1:], np.diff(first)) - np.arange(n)  # words from here to the end of the text
+        terms, weights = np.zeros((n, 2), U64), np.zeros((n, 2), np.float32)
+        for column, run in enumerate((2, 3)):
+            m = n - run + 1
+            if m > 0:
+                terms[:m, column] = mix(sum((word[j : j + m] * U64(mix1(8 * run + j) | 1) for j in range(run)), np.zeros(m, U64)))
+                weights[:m, column] = sum((size[j : j + m] for j in range(run)), np.full(m, run - 1))  # with a blank between words
+            weights[left < run, column] = 0
+        alone = first[:-1][np.diff(first) == 1]
+        terms[alone, 0] = mix(word[alone] * U64(mix1(8) | 1))
+        weights[alone, 0] = size[alone]
+        np.minimum(weights, FULL, out=weights)
+        flat = terms.ravel()
+        bits = np.stack([flat, mix(flat ^ U64(0x6A09E667F3BCC909))], 1).view(np.uint8)
+        weights = weights.ravel() / np.float32(FULL)
+        for k, (lo, hi) in enumerate(zip((2 * first[:-1]).tolist(), (2 * first[1:]).tolist(), strict=True)):
+            if hi > lo:
+                out[a + k] = np.packbits(votes(bits[lo:hi], weights[lo:hi]) > 0)
     return out
 
 
@@ -98,7 +110,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finished(done: list[tuple]) -> pa.RecordBatch:
     ids, texts, after = zip(*done, strict=True)
     changed = [edited(t, x) for t, x in zip(texts, after, strict=True)]
-    own, other, following = (simhash(pa.array(x, pa.string())) for x in (texts, changed, after))
+    other = simhash(pa.array(changed, pa.string()))
+    # as a rule the next text is that of the next row, and is not hashed again
+    place, every = {}, []
+    for t in (*texts, *after):
+        if id(t) not in place:
+            place[id(t)] = len(every)
+            every.append(t)
+    hashed = simhash(pa.array(every, pa.string()))
+    own, following = (hashed[[place[id(t)] for t in x]] for x in (texts, after))
     hexes = [bytes(x).hex() for x in own], [bytes(x).hex() for x in other]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), pa.array(hexes[0]), pa.array(hexes[1]), pa.array(likeness(own, other)), pa.array(likeness(own, following))], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
@@ -144,36 +164,92 @@ def _bytes_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(text_of(column)[0].tobytes().decode()), np.uint8).reshape(-1, BITS // 8)
 
 
-def _counted(asked):
-    """How many rows are within RADIUS bits of each fingerprint that is asked for, in a task's share of the rows; none that nothing is near."""
+def _asked(folder: str):
+    """Writes the distinct fingerprints of a task, BLOCK at most to a file; (path) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = asked.value, np.zeros(len(asked.value), np.int64)
-        words, blocks = own.view(np.uint64), own.view(np.uint16)
-        order = [np.argsort(blocks[:, k], kind="stable") for k in range(TABLES)]
-        begin = [np.searchsorted(blocks[o, k], np.arange((1 << 16) + 1)) for k, o in enumerate(order)]
-        flips = np.array([sum(1 << x for x in some) for n in range(FLIPS + 1) for some in itertools.combinations(range(16), n)], np.uint16)
-        step = max(1, PAIRS // (len(own) + len(flips)))
-        for batch in batches if len(own) else ():
-            rows = _bytes_of(batch.column(0))
-            for lo in range(0, len(rows), step):
-                here = rows[lo : lo + step]
-                w, b = here.view(np.uint64), here.view(np.uint16)
-                for k in range(TABLES):
-                    keys = (b[:, k, None] ^ flips).astype(np.int64)
-                    first = begin[k][keys]
-                    count = begin[k][keys + 1] - first
-                    at, which = np.nonzero(count)
-                    count = count[at, which]
-                    row, nth = np.repeat(at, count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    query = order[k][np.repeat(first[at, which], count) + nth]
-                    near = np.bitwise_count(w[row] ^ words[query]).sum(1) <= RADIUS
-                    row, query = row[near], query[near]
-                    # a pair counts in the first table that has it
-                    new = (np.bitwise_count(b[row, :k] ^ blocks[query, :k]) > FLIPS).all(1)
-                    total += np.bincount(query[new], minlength=len(own))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([bytes(x).hex() for x in own[some]], pa.string()), pa.array(total[some])], names=["fingerprint", "n"])
+        store, base = pyarrow.fs.FileSystem.from_uri(folder)
+        held: list[np.ndarray] = []
+
+        def written(rows: np.ndarray) -> pa.RecordBatch:
+            name = uuid.uuid4().hex
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(rows.tobytes())
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"]})
+
+        for batch in batches:
+            held.append(_bytes_of(batch.column(0)))
+            while sum(map(len, held)) >= BLOCK:
+                rows = np.concatenate(held)
+                held = [rows[BLOCK:]]
+                yield written(rows[:BLOCK])
+        rows = np.concatenate([np.zeros((0, BITS // 8), np.uint8), *held])
+        if len(rows):
+            yield written(rows)
+
+    return run
+
+
+class _Block:
+    """A block of queries in tables, one for each block of their bits, and how many rows are near to each."""
+
+    def __init__(self, own: np.ndarray):
+        self.own, self.total = own, np.zeros(len(own), np.int64)
+        self.words, self.blocks = own.view(np.uint64), own.view(np.uint16)
+        self.order = [np.argsort(self.blocks[:, k], kind="stable") for k in range(TABLES)]
+        self.begin = [np.searchsorted(self.blocks[o, k], np.arange((1 << 16) + 1)) for k, o in enumerate(self.order)]
+
+    def meet(self, rows: np.ndarray) -> None:
+        step = max(1, PAIRS // (len(self.own) + len(_FLIPPED)))
+        for lo in range(0, len(rows), step):
+            here = rows[lo : lo + step]
+            w, b = here.view(np.uint64), here.view(np.uint16)
+            for k in range(TABLES):
+                keys = (b[:, k, None] ^ _FLIPPED).astype(np.int64)
+                first = self.begin[k][keys]
+                count = self.begin[k][keys + 1] - first
+                at, which = np.nonzero(count)
+                count = count[at, which]
+                row, nth = np.repeat(at, count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                query = self.order[k][np.repeat(first[at, which], count) + nth]
+                near = np.bitwise_count(w[row] ^ self.words[query]).sum(1) <= RADIUS
+                row, query = row[near], query[near]
+                # a pair counts in the first table that has it
+                new = (np.bitwise_count(b[row, :k] ^ self.blocks[query, :k]) > FLIPS).all(1)
+                self.total += np.bincount(query[new], minlength=len(self.own))
+
+
+def _counted(paths: DataFrame):
+    """How many rows are within RADIUS bits of each fingerprint that is asked for, in a task's share of the rows; none that nothing is near.
+
+    Rows are held HELD at a time, and meet one block of queries after another; blocks are read from the shared folder."""
+    names = [r["path"] for r in paths.collect()]  # a path for BLOCK queries, or for a task with fewer
+
+    def out(block: _Block) -> pa.RecordBatch:
+        some = np.flatnonzero(block.total)
+        return pa.RecordBatch.from_arrays([pa.array([bytes(x).hex() for x in block.own[some]], pa.string()), pa.array(block.total[some])], names=["fingerprint", "n"])
+
+    def passed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        todo = list(names)
+        while todo:
+            own: list[np.ndarray] = []
+            while todo and sum(map(len, own)) < BLOCK:  # small files together
+                store, at = pyarrow.fs.FileSystem.from_uri(todo.pop())
+                with store.open_input_stream(at, compression=None) as stream:
+                    own.append(np.frombuffer(stream.read(), np.uint8).reshape(-1, BITS // 8))
+            block = _Block(np.unique(np.concatenate(own), axis=0))
+            block.meet(rows)
+            yield out(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches if names else ():
+            held.append(_bytes_of(batch.column(0)))
+            if sum(map(len, held)) >= HELD:
+                yield from passed(np.concatenate(held))
+                held = []
+        if held:
+            yield from passed(np.concatenate(held))
 
     return run
 
@@ -181,12 +257,16 @@ def _counted(asked):
 def within_radius(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(fingerprint, n_near): for each distinct fingerprint of queries, the rows of index at most RADIUS bits from it.
 
-    Fingerprints are hexadecimal. Those of queries go to all tasks, 16 bytes each, in a table for each block of their bits. A row of index looks up its own
-    block and each that differs from it in FLIPS bits at most, which finds all within the radius; whole fingerprints decide.
+    Fingerprints are hexadecimal. Those of queries are written in blocks to the shared folder; a task builds tables of one block after another, one for each
+    block of bits. A row of index looks up its own bits there and all that differ from them in FLIPS bits at most, which finds all within the radius;
+    whole fingerprints decide. A task holds one block and HELD rows, whatever the number of queries.
     """
-    asked = queries.select("fingerprint").distinct().toPandas()["fingerprint"]
-    asked = queries.sparkSession.sparkContext.broadcast(_bytes_of(pa.array(asked, pa.string())).copy())
-    return index.select("fingerprint").transform(arrow, _counted(asked), "fingerprint string, n long").groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
+    spark = queries.sparkSession
+    folder = f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}"
+    store, base = pyarrow.fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+    paths = stored(queries.select("fingerprint").distinct().transform(arrow, _asked(folder), "path string"), "blocks")
+    return index.select("fingerprint").transform(arrow, _counted(paths), "fingerprint string, n long").groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
 
 
 def fingerprinted(docs: DataFrame, every: int = 100) -> DataFrame:
