@@ -3,10 +3,10 @@
 A text is a sequence of units: a line has one, and one more for every further UNIT_WORDS words, MIN_UNITS at most; blank lines have none.
 A run of lines is long enough when it has MIN_UNITS units: a few lines, or a single long one. Distributed prefix doubling ranks the
 suffixes of all sequences by their first 1, 2, 4, ... units: a suffix's rank and that of the suffix so many units on give its next
-rank. Only suffixes whose prefix occurs again go into the next round; all others are settled, as their longest common prefix with any other is
-shorter. Ranks come from a range partitioning of the distinct pairs, so they keep the suffixes' order. Suffixes of one rank in the end are an interval
-of the suffix array with a longest common prefix of MIN_UNITS or more; its first suffix is the original and the others begin later copies.
-The union of their windows are the maximal repeated runs.
+rank. Only suffixes whose prefix occurs again go into the next round, until no prefix does; all others are settled: their longest common prefix
+with any other is shorter. Ranks come from a range partitioning of the distinct pairs, so they keep the suffixes' order, and suffixes of one rank
+are an interval of the suffix array whose longest common prefix is the round's units or more. Of each interval at MIN_UNITS units or more the first suffix
+is the original, and the others begin later copies, as long as the last round that has them in an interval says. Their union is the maximal repeated runs.
 
 No rank's suffixes are gathered: groups are counted before the shuffle, and suffixes get their rank by an equi-join.
 """
@@ -15,42 +15,54 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import arrow, cut, partitions, small_batches, stored
 
 MIN_UNITS, UNIT_WORDS = 4, 16
+#: Units that a task holds at once.
+UNITS = 1 << 16
 
 
 def _units(min_units: int, unit_words: int):
+    """A row for each unit: its document and text, its place, its line's hash, its line. UNITS at most are held at once."""
+    names, types = ["doc_id", "row", "at", "hi", "lo", "line", "last"], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in names]
+
+        def taken() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
+            for column in out:
+                column.clear()
+            return batch
+
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            out: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(docs, texts, strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if doc is None or not text.is_valid:
                     continue
                 raw = text.as_buffer().to_pybytes()
-                at, lines, keys = 0, [], []
-                for line, own in enumerate(raw.split(b"\n")):
+                row, at, start, line = int.from_bytes(hashlib.md5(raw).digest()[:8], "little", signed=True), 0, 0, 0
+                while start <= len(raw):
+                    end = raw.find(b"\n", start)
+                    own = raw[start : len(raw) if end < 0 else end]
                     words = len(own.split())
                     if words:
                         digest = hashlib.md5(own).digest()
                         hi, lo = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
                         for unit in range(min(min_units, -(-words // unit_words))):
-                            keys.append((hi, lo ^ unit))
-                            lines.append(line)
-                n = len(keys)
-                for at in range(n):
-                    last = lines[at + min_units - 1] if at + min_units <= n else -1
-                    for column, x in zip(out, (doc, at, *keys[at], lines[at], last), strict=True):
-                        column.append(x)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", "at", "hi", "lo", "line", "last"])
+                            for column, x in zip(out, (doc, row, at, hi, lo ^ unit, line, line), strict=True):
+                                column.append(x)
+                            at += 1
+                    start, line = (len(raw) + 1 if end < 0 else end + 1), line + 1
+                    if len(out[0]) >= UNITS:
+                        yield taken()
+        yield taken()
 
     return run
 
@@ -63,17 +75,31 @@ def _ranked(rows: DataFrame, *key: str) -> DataFrame:
     return rows.join(ranks, list(key)).drop(*key)
 
 
+def intervals(docs: DataFrame, min_units: int = MIN_UNITS, unit_words: int = UNIT_WORDS) -> list[DataFrame]:
+    """The rounds of prefix doubling, from min_units units on: (doc_id, row, at, line, last, first, rank) of each suffix in an interval of the suffix array.
+
+    row tells the texts of one doc_id apart, at is the suffix's first unit and line its line, last the line of its last unit in this round, first the (doc_id, at) that comes
+    first in the interval. The last round has no rows: no prefix of so many units occurs twice.
+    """
+    units = stored(docs.select("doc_id", "text").transform(arrow, _units(min_units, unit_words), "doc_id long, row long, at int, hi long, lo long, line int, last int"), "units")
+    suffixes, span, rounds = _ranked(units, "hi", "lo"), 1, []
+    while True:
+        suffixes = stored(suffixes, "suffixes")
+        if span >= min_units:
+            rounds.append(suffixes)
+        if suffixes.isEmpty():
+            return rounds or [suffixes]
+        ahead = Window.partitionBy("doc_id", "row").orderBy("at").rangeBetween(span, span)
+        pairs = suffixes.select("doc_id", "row", "at", "line", F.col("rank").alias("own"), F.max("rank").over(ahead).alias("next"), F.max("last").over(ahead).alias("last")).where("next is not null")
+        suffixes, span = _ranked(pairs, "own", "next"), span * 2
+
+
 def repeated_runs(docs: DataFrame, min_units: int = MIN_UNITS, unit_words: int = UNIT_WORDS) -> DataFrame:
-    """(doc_id, line, last): windows of lines, both ends included, that are a later copy of a run of min_units units (a power of two)."""
+    """(doc_id, line, last): windows of lines, both ends included, that are a later copy of a run of min_units units (a power of two) or more."""
     if min_units < 1 or min_units & (min_units - 1):
         raise ValueError("min_units has to be a power of two")
-    units = stored(docs.select("doc_id", "text").transform(arrow, _units(min_units, unit_words), "doc_id long, at int, hi long, lo long, line int, last int"), "units")
-    suffixes, span = _ranked(units, "hi", "lo"), 1
-    while span < min_units:
-        suffixes = stored(suffixes.drop("first"), "suffixes")
-        ahead = suffixes.select("doc_id", (F.col("at") - span).alias("at"), F.col("rank").alias("next")).distinct()
-        suffixes, span = _ranked(suffixes.join(ahead, ["doc_id", "at"]).withColumnRenamed("rank", "own"), "own", "next"), span * 2
-    return suffixes.where("last >= 0 and (doc_id, at) != (first.doc_id, first.at)").select("doc_id", "line", "last").distinct()
+    found = [r.where("(doc_id, at) != (first.doc_id, first.at)").select("doc_id", "line", "last") for r in intervals(docs, min_units, unit_words)]
+    return reduce(DataFrame.union, found).groupBy("doc_id", "line").agg(F.max("last").alias("last"))
 
 
 def _cut_texts(keep: int):
