@@ -20,16 +20,20 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import U64, arrow, components, cut, mix, partitions, stored
 from tidewell.llm.ngram_join import forest
 
-#: Vectors in a cell that are aimed at, the most centroids in all (they are broadcast), vectors to fit each of them on, rounds of k-means.
-CELL, CENTROIDS, FITTED_ON, ROUNDS = 2048, 4096, 32, 8
-BLOCK = 256
+#: Vectors in a cell that are aimed at, the most centroids in all and bytes of them (they are broadcast), bytes of vectors to fit them on (these come
+#: to the driver), rounds of k-means. Beyond the most centroids cells grow; that costs time, never links.
+CELL, CENTROIDS, CENTROID_BYTES, FIT_BYTES, ROUNDS = 2048, 4096, 8 << 20, 48 << 20, 8
+BLOCK = 1024
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, units, dims = [], [], []
-        for value in batch.column(2):
-            v = np.array([np.nan if x is None else x for x in value.as_py()], np.float64) if value.is_valid else np.zeros(0)
+        lists = batch.column(2)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null is not a number here
+        to = np.concatenate(([0], np.cumsum([len(x) if x.is_valid else 0 for x in lists])))
+        for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True):
+            v = flat[a:b]
             top = np.abs(v).max() if len(v) else 0.0
             good = np.isfinite(top) and top > 0
             if good:
@@ -121,24 +125,34 @@ def _compared(given, threshold: float, margin: float):
 
     def finish(key: tuple, rows: list[tuple]) -> list[tuple[int, int, int]]:
         label, dim, cell, low, high = key
-        if len(rows) < 2:
-            return []
         upper, ids, n, home, unit = (list(x) for x in zip(*rows, strict=True))
+        side = np.array(upper)
         x = np.stack([np.frombuffer(u, np.float64) for u in unit])
-        home, upper, n = np.array(home), np.array(upper), np.array(n)
-        linked = x @ x.T >= threshold
-        np.fill_diagonal(linked, False)
-        if low != high:
-            linked &= upper[:, None] != upper[None, :]
+        home, n = np.array(home), np.array(n)
+        a, b = (np.flatnonzero(~side), np.flatnonzero(side)) if low != high else (np.arange(len(x)),) * 2
+        if not len(a) or not len(b) or len(x) < 2:
+            return []
+        linked = x[a] @ x[b].T >= threshold
+        if low == high:
+            np.fill_diagonal(linked, False)
         guest = home != cell
-        linked &= ~(guest[:, None] & guest[None, :])
+        linked &= ~(guest[a][:, None] & guest[b][None, :])
         c = given.value.get((label, dim))
-        if c is not None and guest.any():  # a pair that both home cells meet counts in the first of them
+        if c is not None and guest.any() and linked.any():  # a pair that both home cells meet counts in the first of them
             _, near = places(x, c, margin)
-            elsewhere = near[:, home] & (home < cell)[None, :]  # row: at home here; column: at home there
-            linked &= ~(elsewhere & ~guest[:, None] & guest[None, :]) & ~(elsewhere & ~guest[:, None] & guest[None, :]).T
-        counts = linked @ n
-        return [(0, ids[a], ids[b]) for a, b in forest(linked)] + [(1, ids[k], int(counts[k])) for k in np.flatnonzero(counts)]
+            for some, others, found in ((a, b, linked), (b, a, linked.T)):
+                found &= ~(near[np.ix_(some, home[others])] & (home[others] < cell)[None, :] & ~guest[some][:, None] & guest[others][None, :])
+        counts = np.zeros(len(x), np.int64)
+        counts[a] += linked @ n[b]
+        if low != high:
+            counts[b] += linked.T @ n[a]
+        met = np.flatnonzero(counts)
+        place = np.full(len(x), -1)
+        place[met] = np.arange(len(met))
+        square = np.zeros((len(met), len(met)), bool)
+        i, j = np.nonzero(linked)
+        square[place[a[i]], place[b[j]]] = square[place[b[j]], place[a[i]]] = True
+        return [(0, ids[met[p]], ids[met[q]]) for p, q in forest(square)] + [(1, ids[k], int(counts[k])) for k in met]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: list) -> pa.RecordBatch:
@@ -176,15 +190,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, margin: float |
     rows = stored(vectors.select("vec_id", "label", F.col("embedding").cast("array<double>")).transform(arrow, _classes, f"vec_id long, label {label_type}, key binary, dim int, unit binary"), "vectors")
     same = ["label", "dim", "key"]
     reps = cut(rows.where("key is not null and label is not null").groupBy(*same).agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")).where("id is not null"))
-    sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CELL).orderBy(F.desc("size")).limit(CENTROIDS).collect()
-    target = max(CELL, sum(r["size"] for r in sizes) / (CENTROIDS / 2))
+    sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size"))
+    total, longest = sizes.agg(F.sum("size"), F.max("dim")).first()
+    most = max(2, min(CENTROIDS, CENTROID_BYTES // (8 * (longest or 1))))
+    target = max(CELL, -(-(total or 0) // (most // 2)))
+    # at most total / target <= most / 2 of them have more than target vectors
+    cells = {(r["label"], r["dim"]): -(-r["size"] // target) for r in sizes.where(F.col("size") > target).collect()}
     given = {}
-    if sizes:
-        cells = {(r["label"], r["dim"]): -(-r["size"] // int(target)) for r in sizes}
-        share = min(1.0, FITTED_ON * sum(cells.values()) / sum(r["size"] for r in sizes))
-        wanted = spark.createDataFrame([k for k, n in cells.items() if n > 1] or [(None, None)], f"label {label_type}, dim int")
+    if cells:
+        share = min(1.0, FIT_BYTES / (8 * longest * total))
+        wanted = spark.createDataFrame(list(cells), f"label {label_type}, dim int")
         seen: dict[tuple, list] = {}
-        for r in reps.join(F.broadcast(wanted), ["label", "dim"]).sample(share, 3).select("label", "dim", "unit").limit(4 * FITTED_ON * CENTROIDS).toLocalIterator():
+        for r in reps.join(F.broadcast(wanted), ["label", "dim"]).sample(share, 3).select("label", "dim", "unit").toLocalIterator():
             seen.setdefault((r["label"], r["dim"]), []).append(np.frombuffer(r["unit"], np.float64))
         given = {k: spherical_kmeans(np.stack(x), cells[k]) for k, x in seen.items() if len(x) > cells[k]}
     given = spark.sparkContext.broadcast(given)
