@@ -4,9 +4,9 @@ Of every window of `length` bytes one inner position is picked by its content al
 hash. The suffixes at the picked positions (about one in thirty) are sorted, not those at all positions, and equal windows still
 meet, since both are picked at the same place. The windows that share a picked position are a run; together they are its region.
 
-1. Splitters, sampled, cut the order of the suffixes' leading GRAM bytes (by hash) into ranges, one for each task. No two suffixes with
-   equal leading bytes are in different ranges, so that nothing has to be compared across a boundary. In a range, suffixes are sorted by
-   leading bytes, then region. A region that occurs earlier as a whole is removed as a whole; of equal regions only the first one goes on.
+1. Splitters, sampled, cut the order of the suffixes into ranges: by their first LEAD bytes, and then by a hash of their leading GRAM bytes. There are
+   as many ranges as the input's size asks for, and a task works through its ranges one by one. No two suffixes with equal leading GRAM bytes are
+   in different ranges, so that nothing has to be compared across a boundary. In a range, suffixes are sorted by these, then region. A region that occurs earlier as a whole is removed as a whole; of equal regions only the first one goes on.
    Tasks do the same before the shuffle, so copies of one text, however many, put one record a batch into a range.
 2. Only where different regions share leading bytes are the windows themselves compared. Each goes with the bytes right and left of the
    leading ones that all its windows have, which again sets most apart; what is left is sorted by multikey quicksort over machine words.
@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, arrow, chunks, mix, partitions, prefix_hash, slice_hash, small_batches, stored, text_of
+from tidewell.llm.common import CHUNK, U64, arrow, chunks, mix, partitions, prefix_hash, slice_hash, small_batches, stored, text_of
 
 #: Documents from which splitters are sampled, and suffixes of each.
 SAMPLED, OF_EACH = 4096, 16
-#: Ranges for each shuffle partition: these are dealt out by hash, and many small ones even out.
-RANGES = 4
+#: Ranges for each shuffle partition: these are dealt out by hash, and many small ones even out. Bytes of text for a range at most, on average.
+RANGES, RANGE_BYTES = 4, 64 << 20
+#: Bytes of a suffix that the order begins with; a hash of its leading GRAM bytes has the other 8 - LEAD bytes of the key.
+LEAD = 5
 #: Windows that a task sorts at once.
 AT_ONCE = 1 << 19
 
@@ -39,7 +41,29 @@ WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("left", "<
 
 
 def gram_of(length: int) -> int:
-    return max(4, length * 2 // 5)
+    return max(LEAD, length * 2 // 5)
+
+
+def in_parts(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(data, offsets, doc, base) of about CHUNK bytes; a text beyond two chunks comes in parts, from base on, that overlap by all windows but one byte."""
+    for a, b in chunks(offsets):
+        size = int(offsets[b] - offsets[a])
+        if size <= 2 * CHUNK:
+            yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc[a:b], 0
+            continue
+        for base in range(0, size - length + 1, CHUNK):
+            part = data[offsets[a] + base : min(offsets[b], offsets[a] + base + CHUNK + length - 1)]
+            yield part, np.array([0, len(part)]), doc[a:b], base
+
+
+def picked_in(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """The suffixes picked in some texts of any length."""
+    found = [np.zeros(0, SUFFIX)]
+    for part, at, own, base in in_parts(data, offsets, doc, length):
+        some = picked(part, at, own, length)[0]
+        some["start"] += base
+        found.append(some)
+    return np.concatenate(found)
 
 
 def picked(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +94,10 @@ def picked(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, length: int)
     last = np.append(first[1:], len(start)) - 1
     out = np.zeros(len(first), SUFFIX)
     begin, position = start[first], chosen[first]
-    out["gram"] = h[position]
+    lead = np.zeros(len(first), U64)
+    for k in range(LEAD):
+        lead = lead << U64(8) | data[position + k].astype(U64)
+    out["gram"] = lead << U64(64 - 8 * LEAD) | mix(h[position]) >> U64(8 * LEAD)
     out["left"], out["more"] = position - begin, start[last] - begin
     out["region"] = mix(slice_hash(sums, begin, start[last] + length) + (position - begin).astype(U64))
     out["doc"], out["start"] = doc[owner[first]], begin - offsets[owner[first]]
@@ -152,7 +179,7 @@ def _sample(length: int):
         for batch in batches:
             data, offsets = text_of(batch.column(1))
             for a, b in chunks(offsets):
-                found, _ = picked(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], np.arange(b - a), length)
+                found = picked_in(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], np.arange(b - a), length)
                 yield pa.RecordBatch.from_arrays([pa.array(found["gram"][:: max(1, len(found) // (OF_EACH * (b - a)))].view(np.int64))], names=["gram"])
 
     return run
@@ -165,12 +192,8 @@ def _suffixes(length: int, splitters: np.ndarray):
         turn = 0
         for batch in batches:
             data, offsets = text_of(batch.column(1))
-            doc, found = batch.column(0).to_numpy(zero_copy_only=False), []
-            for a, b in chunks(offsets):
-                found.append(picked(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], doc[a:b], length)[0])
-            if not found:
-                continue
-            kept, spans = first_ones(np.concatenate(found), length)
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            kept, spans = first_ones(picked_in(data, offsets, doc, length), length)
             rows = [(part, 0, _blob(own)) for part, own in _by_range(kept, "gram", splitters)]
             if len(spans):
                 turn += 7919
@@ -181,13 +204,18 @@ def _suffixes(length: int, splitters: np.ndarray):
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    records, spans = [np.zeros(0, dtype)], [np.zeros(0, SPAN)]
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[np.ndarray]]]:
+    """Of rows sorted by range: all columns behind the range, as buffers, one range after another."""
+    now, held = None, []
     for batch in batches:
-        for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            raw = blob.as_buffer()
-            (spans if kind else records).append(np.frombuffer(raw, SPAN if kind else dtype))
-    return np.concatenate(records), np.concatenate(spans)
+        for k, to in enumerate(batch.column(0).to_pylist()):
+            if to != now and held:
+                yield held
+                held = []
+            now = to
+            held.append([batch.column(c)[k] for c in range(1, batch.num_columns)])
+    if held:
+        yield held
 
 
 def _marks(kind: int, doc, start, left, more) -> pa.RecordBatch:
@@ -203,21 +231,44 @@ def _sorted(length: int):
     """Kind 1: spans to remove (start, end in left). Kind 0: regions whose windows are still to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, spans = _gather(batches, SUFFIX)
-        yield _spans_out(spans)
-        kept, spans = first_ones(records, length)
-        yield _spans_out(spans)
-        same = np.zeros(len(kept), bool)
-        if len(kept):
-            twin = kept["gram"][1:] == kept["gram"][:-1]
-            same[1:] |= twin
-            same[:-1] |= twin
-        kept = kept[same]
-        yield _marks(0, kept["doc"], kept["start"], kept["left"], kept["more"])
+        for rows in _ranges(batches):
+            known = [np.frombuffer(blob.as_buffer(), SPAN) for kind, blob in rows if kind.as_py()]
+            if known:
+                yield _spans_out(np.concatenate(known))
+            kept, spans = first_ones(np.concatenate([np.zeros(0, SUFFIX), *(np.frombuffer(blob.as_buffer(), SUFFIX) for kind, blob in rows if not kind.as_py())]), length)
+            yield _spans_out(spans)
+            same = np.zeros(len(kept), bool)
+            if len(kept):
+                twin = kept["gram"][1:] == kept["gram"][:-1]
+                same[1:] |= twin
+                same[:-1] |= twin
+            kept = kept[same]
+            yield _marks(0, kept["doc"], kept["start"], kept["left"], kept["more"])
 
     return run
 
 
+def _regions(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, per_row: pa.Array, length: int) -> Iterator[tuple]:
+    """Texts of about CHUNK bytes with the regions in them: where each one's document begins in the text, its doc, (start, left, more)."""
+    for a, b in chunks(offsets):
+        part = per_row.slice(a, b - a)
+        flat = part.flatten()
+        if not len(flat):
+            continue
+        owner = np.repeat(np.arange(b - a), np.diff(part.offsets.to_numpy()))
+        own = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+        inside = own[0] + own[2] + length <= (offsets[a + 1 : b + 1] - offsets[a:b])[owner]
+        own, owner = [x[inside] for x in own], owner[inside]
+        if offsets[b] - offsets[a] <= 2 * CHUNK:
+            yield data[offsets[a] : offsets[b]], (offsets[a:b] - offsets[a])[owner], doc[a:b][owner], own
+            continue
+        for k in np.unique(own[0] // CHUNK):  # one long text
+            some = own[0] // CHUNK == k
+            start, left, more = (x[some] for x in own)
+            lo = int(start.min())
+            yield data[offsets[a] + lo : offsets[a] + int((start + more).max()) + length], np.full(len(start), -lo), doc[a:b][owner[some]], (start, left, more)
+
+
 def _windows(length: int, splitters: int):
     """From texts and their undecided regions, halves of regions under keys of all bytes that their windows surely have."""
 
@@ -228,16 +279,7 @@ def _windows(length: int, splitters: int):
             data, offsets = text_of(batch.column(1))
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             per_row = batch.column(2)
-            for a, b in chunks(offsets):
-                part = per_row.slice(a, b - a)
-                flat = part.flatten()
-                if not len(flat):
-                    continue
-                owner = np.repeat(np.arange(b - a), np.diff(part.offsets.to_numpy()))
-                start, left, more = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-                text, base = data[offsets[a] : offsets[b]], (offsets[a:b] - offsets[a])[owner]
-                inside = start + more + length <= (offsets[a + 1 : b + 1] - offsets[a:b])[owner]
-                start, left, more, owner, base = (x[inside] for x in (start, left, more, owner, base))
+            for text, base, ids, (start, left, more) in _regions(data, offsets, doc, per_row, length):
                 sums = prefix_hash(text)
                 place = base + start + left
                 rows = []
@@ -251,7 +293,7 @@ def _windows(length: int, splitters: int):
                     f, t = (place - half, place + gram) if side == 0 else (place, place + gram + half)
                     rec = np.zeros(len(ok), WINDOW)
                     rec["key"] = mix(slice_hash(sums, f[ok], t[ok]) + U64(side + 1))
-                    rec["doc"], rec["start"] = doc[a:b][owner[ok]], (start + lo)[ok]
+                    rec["doc"], rec["start"] = ids[ok], (start + lo)[ok]
                     rec["left"], rec["more"] = (left - lo)[ok], (hi - lo)[ok]
                     begin = (base + start + lo)[ok]
                     rows.append((rec, begin, (hi - lo)[ok] + length))
@@ -276,13 +318,10 @@ def _compared(length: int):
     steps = [0, length - 8, *range(8, length - 8, 8)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, bodies = [np.zeros(0, WINDOW)], []
-        for batch in batches:
-            heads += [np.frombuffer(x.as_buffer(), WINDOW) for x in batch.column(1)]
-            bodies += [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(2)]
-        rec = np.concatenate(heads)
-        if not len(rec):
-            return
+        for rows in _ranges(batches):
+            yield from compared(np.concatenate([np.frombuffer(x.as_buffer(), WINDOW) for x, _ in rows]), [np.frombuffer(x.as_buffer(), np.uint8) for _, x in rows])
+
+    def compared(rec: np.ndarray, bodies: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         text = np.concatenate([*bodies, np.zeros(8, np.uint8)])
         size = rec["more"].astype(np.int64) + length
         at = np.cumsum(size) - size
@@ -330,7 +369,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, spans = batch.column(1), batch.column(2)
         kept, size, removed, runs = [], [], [], []
         for k in range(len(texts)):
-            raw, out, at, n, gone = (texts[k].as_py() or "").encode(), [], 0, 0, 0
+            raw, out, at, n, gone = texts[k].as_buffer().to_pybytes() if texts[k].is_valid else b"", [], 0, 0, 0
             own = spans[k]
             if own.is_valid:
                 for start, end in sorted(zip(own.values.field(0).to_pylist(), own.values.field(1).to_pylist(), strict=True)):
@@ -357,15 +396,18 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    n, parts = docs.count(), partitions(spark)
-    ranges = RANGES * parts
-    some = docs.sample(min(1.0, SAMPLED / max(n, 1)), 17).limit(4 * SAMPLED).transform(arrow, _sample(length), "gram long")
+    parts = partitions(spark)
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranges = max(RANGES * parts, -(-size // RANGE_BYTES))
+    sampled = max(SAMPLED, ranges)  # documents; a few suffixes of each, so that every range has some
+    some = docs.sample(min(1.0, sampled / max(n, 1)), 17).transform(arrow, _sample(length), "gram long")
     grams = np.sort(np.array([r[0] for r in some.collect()], np.int64).view(U64))
     splitters = np.unique(grams[np.arange(1, ranges) * len(grams) // ranges]) if len(grams) else np.zeros(0, U64)
-    marks = stored(docs.transform(arrow, _suffixes(length, splitters), "range int, kind int, records binary").repartition(parts, "range").transform(arrow, _sorted(length), "kind int, doc_id long, start int, left int, more int"), "suffixes")
+    found = docs.transform(arrow, _suffixes(length, splitters), "range int, kind int, records binary").repartition(parts, "range").sortWithinPartitions("range")
+    marks = stored(found.transform(arrow, _sorted(length), "kind int, doc_id long, start int, left int, more int"), "suffixes")
     open_ = marks.where("kind = 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "left", "more")).alias("regions"))
     windows = docs.join(open_, "doc_id").select("doc_id", "text", "regions").transform(arrow, _windows(length, ranges), "range int, records binary, bytes binary")
-    later = windows.repartition(parts, "range").transform(arrow, _compared(length), "kind int, doc_id long, start int, left int, more int")
+    later = windows.repartition(parts, "range").sortWithinPartitions("range").transform(arrow, _compared(length), "kind int, doc_id long, start int, left int, more int")
     return marks.where("kind = 1").union(stored(later, "windows")).select("doc_id", "start", F.col("left").alias("end"))
 
 
