@@ -5,8 +5,9 @@ weights per language. Transitions between the languages of neighbouring words ar
 different documents, as code-switched text does. Forward-backward gives each word's distribution; a text's language is the one with
 the largest sum over its words, its score that sum's share.
 
-The model is fitted on the driver from a bounded sample (PER_LANG documents of each language, PIECES pieces of WORDS words of each);
-its size is the number of languages times 2**BITS weights. Prediction reads every whole text, once, without a shuffle.
+The model is fitted on the driver from a bounded sample of rows: of each language the PER_LANG documents with the smallest hashes among those of
+LONGEST bytes or less, whole, in pieces of WORDS words. The sample follows doc_id and text, not the layout of files. The model's size is the number of
+languages times 2**BITS weights. Prediction reads every whole text, once, without a shuffle; long texts go through in parts, with messages carried on.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import arrow, prefix_hash, slice_hash, small_batches
 
 BITS = 17
-PER_LANG, PIECES, WORDS, EPOCHS, RATE, DECAY = 500, 6, 24, 3, 0.3, 1e-5
+PER_LANG, LONGEST, WORDS, EPOCHS, RATE, DECAY = 250, 1 << 16, 24, 3, 0.3, 1e-5
 #: Words that forward-backward takes at once.
 AT_ONCE = 1 << 19
-#: Bytes of text whose features are made at once.
+#: Characters of text whose features are made at once; a longer text comes in parts that end at white space, or inside a word that is longer still.
 FEATURED = 1 << 19
+#: A text of more words is a sequence of its own, whose messages are carried from block to block.
+BLOCKED = 1 << 13
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -153,6 +156,69 @@ def _posterior(scores: np.ndarray, step: np.ndarray, moves: np.ndarray) -> np.nd
     return a
 
 
+def posterior_of_long(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The distributions of one long sequence: blocks of equal length side by side, each first as the matrix that carries messages over it."""
+    e = np.exp(scores - scores.max(1, keepdims=True)).astype(np.float64)
+    n, langs = e.shape
+    t = np.exp(moves)
+    size = max(1, int(n**0.5))
+    blocks = n // size
+    main, tail = e[: blocks * size].reshape(blocks, size, langs).transpose(1, 0, 2), e[blocks * size :]
+    carry = np.broadcast_to(np.eye(langs), (blocks, langs, langs)).copy()
+    for s in range(size):
+        ahead = carry @ t
+        if s == 0:
+            ahead[0] = carry[0]  # nothing precedes the first word
+        carry = ahead * main[s][:, None, :]
+        carry /= carry.sum((1, 2), keepdims=True)
+    into, ones = np.empty((blocks, langs)), np.ones(langs)
+    message = ones
+    for k in range(blocks):
+        into[k] = message
+        message = message @ carry[k]
+        message = message / message.sum()
+    out, behind = np.empty((n, langs)), []
+    for now in tail:
+        message = (message @ t) * now
+        message = message / message.sum()
+        behind.append(message)
+    back = ones
+    for k in range(len(tail) - 1, -1, -1):
+        out[blocks * size + k] = behind[k] * back
+        back = t @ (tail[k] * back)
+        back = back / back.sum()
+    beyond = np.empty((blocks, langs))
+    for k in range(blocks - 1, -1, -1):
+        beyond[k] = back
+        back = carry[k] @ back
+        back = back / back.sum()
+    held = np.empty_like(main)
+    for s in range(size):
+        ahead = into @ t
+        if s == 0:
+            ahead[0] = into[0]
+        into = ahead * main[s]
+        into /= into.sum(1, keepdims=True)
+        held[s] = into
+    for s in range(size - 1, -1, -1):
+        held[s] *= beyond
+        beyond = (main[s] * beyond) @ t.T
+        beyond /= beyond.sum(1, keepdims=True)
+    out[: blocks * size] = held.transpose(1, 0, 2).reshape(-1, langs)
+    return out / out.sum(1, keepdims=True)
+
+
+def parts_of(text: str) -> Iterator[str]:
+    """A text in parts of FEATURED characters at most, cut behind white space where there is any."""
+    at = 0
+    while len(text) - at > FEATURED:
+        end = max(text.rfind(" ", at, at + FEATURED), text.rfind("\n", at, at + FEATURED)) + 1
+        end = end if end > at else at + FEATURED
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 class Model:
     """Languages, weights per feature and language, and scores of the moves between languages."""
 
@@ -163,33 +229,42 @@ class Model:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.langs:
             return names, scores
-        size = np.cumsum([0, *(len(t or "") for t in texts)])
+        parts = [(k, part) for k, t in enumerate(texts) for part in parts_of(t or "")]
+        size = np.cumsum([0, *(len(part) for _, part in parts)])
         pending: list[np.ndarray] = []
         a = done = held = 0
-        count: list[np.ndarray] = []
-        while a < len(texts):
+        count = np.zeros(len(texts), np.int64)
+        while a < len(parts):
             b = max(a + 1, int(np.searchsorted(size, size[a] + FEATURED, "right")) - 1)
-            data, start, end, first = words(texts[a:b])
+            data, start, end, first = words([part for _, part in parts[a:b]])
             pending.append(emissions(self.weights, data, start, end))
-            count.append(np.diff(first))
+            np.add.at(count, [k for k, _ in parts[a:b]], np.diff(first))
             held += len(start)
             a = b
-            if held >= AT_ONCE or a == len(texts):
-                self._finish(np.concatenate(pending), np.concatenate(count), texts, done, names, scores)
-                pending, count, held, done = [], [], 0, a
+            if a == len(parts) or held >= AT_ONCE and parts[a][0] != parts[a - 1][0]:
+                to = parts[a][0] if a < len(parts) else len(texts)
+                self._finish(np.concatenate(pending), count[done:to], texts, done, names, scores)
+                pending, held, done = [], 0, to
         return names, scores
 
     def _finish(self, scores: np.ndarray, count: np.ndarray, texts: list, base: int, names: list, out: np.ndarray) -> None:
         first = np.concatenate(([0], np.cumsum(count)))
-        if not first[-1]:
-            return
-        place, step, _ = by_time(first)
-        laid = np.empty_like(scores)
-        laid[place] = scores
+        total = np.zeros((len(count), len(self.langs)))
+        long_ = count > BLOCKED
+        for k in np.flatnonzero(long_):
+            total[k] = posterior_of_long(scores[first[k] : first[k + 1]], self.moves).sum(0)
+        if long_.any():
+            scores = scores[np.repeat(~long_, count)]
+            first = np.concatenate(([0], np.cumsum(np.where(long_, 0, count))))
+        if first[-1]:
+            place, step, _ = by_time(first)
+            laid = np.empty_like(scores)
+            laid[place] = scores
+            some = np.flatnonzero(np.diff(first))
+            total[some] = np.add.reduceat(_posterior(laid, step, self.moves)[place], first[some], axis=0, dtype=np.float64)
         some = np.flatnonzero(count)
-        total = np.add.reduceat(_posterior(laid, step, self.moves)[place], first[some], axis=0, dtype=np.float64)
         best = total.argmax(1)
-        for k, lang, share in zip(some.tolist(), best.tolist(), (total[np.arange(len(some)), best] / count[some]).tolist(), strict=True):
+        for k, lang, share in zip(some.tolist(), best[some].tolist(), (total[some, best[some]] / count[some]).tolist(), strict=True):
             text = texts[base + k]
             if text.isascii() or any(map(str.isalpha, text)):
                 names[base + k], out[base + k] = self.langs[lang], min(1.0, share)
@@ -206,7 +281,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     pieces: list[tuple[str, int]] = []
     for text, lang in samples:
         own = text.split()
-        for at in range(0, len(own), WORDS)[:: max(1, len(own) // (WORDS * PIECES))]:
+        for at in range(0, len(own), WORDS):
             pieces.append((" ".join(own[at : at + WORDS]), langs.index(lang)))
     square, square_moves = np.full_like(weights, 1e-4), np.full_like(moves, 1e-2)
     for _ in range(EPOCHS):
@@ -248,18 +323,18 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def learn(docs: DataFrame) -> Model:
-    """A model of the documents' text and non-null lang; all of docs may be learned from. An empty sample gives a model without languages."""
-    known = docs.where("text is not null and lang is not null").select("text", "lang")
+    """A model of the documents' text and non-null lang; all of docs (doc_id, text, lang) may be sampled. An empty sample gives a model without languages."""
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= LONGEST)).select("text", "lang", F.xxhash64("doc_id", "text").alias("key"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shares = {lang: min(1.0, 1.2 * PER_LANG / n) for lang, n in counts.items()}
-    rows = known.sampleBy("lang", shares, 11).collect() if shares else []
-    taken: dict[str, int] = {}
-    samples = []
-    for r in rows:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= PER_LANG:
-            samples.append((r["text"], r["lang"]))
-    return fit(samples)
+    if not counts:
+        return fit([])
+    # the rows with the smallest hashes, and some more than are wanted: about 2 * PER_LANG for each language
+    least = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(-(1 << 63) + min(1.0, (2 * PER_LANG + 20) / n) * ((1 << 64) - 2049)))])
+    rows = known.where(F.col("key") <= least[F.col("lang")]).collect()
+    taken: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["key"], r["text"])):
+        taken.setdefault(r["lang"], []).append((r["text"], r["lang"]))
+    return fit([x for lang in sorted(taken) for x in taken[lang][:PER_LANG]])
 
 
 def predicted(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
