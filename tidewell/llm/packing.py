@@ -9,6 +9,7 @@ the input. Pieces are numbered within their length by two levels of counts and t
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewell.llm.common import U64, arrow, chunks, cut, prefix_hash, slice_hash, small_batches, stored, text_of
+from tidewell.llm.common import U64, arrow, blank_parts, chunks, cut, joined, prefix_hash, slice_hash, small_batches, stored, text_of
 
-#: Parts in which pieces of one length are numbered, so that no task gets all documents of a common length.
-SALTS = 64
+#: Pieces of one length that a task numbers, on average: common lengths are dealt out in as many parts as that takes.
+PER_SALT = 20_000
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 #: Bytes of text that are split at once, and new words that are encoded in one call.
@@ -96,6 +97,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 #: What the tokenizer's own pattern does with the bytes of plain text, by fixed classes: white space ends words, a word is a run of letters, one
 #: digit, or a run of other signs. Letters are a-z and those of C3 80 to C3 BF but for two signs. Texts with any other byte, with an
 #: apostrophe (contractions) or the beginning of a special token go through the tokenizer whole.
+#: This holds for a tokenizer whose normalizer and pre-tokenizer are these (fixed values, from its file); any other gets all texts whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _BLANK, _ALPHA, _DIGIT, _SIGN, _ODD = range(5)
 _CLASS = np.full(256, _ODD, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = _BLANK
@@ -135,6 +139,10 @@ class Ids:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that a word ends with
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        spec = json.loads(self.tokenizer.to_str())
+        first = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        same = spec["normalizer"] == NORMALIZER and (first.get("type"), first.get("pattern"), first.get("invert")) == ("Split", {"Regex": WORDS}, True)
+        self.by_words = same and spec["model"].get("end_of_word_suffix") == "</w>" and not any(c.isspace() for t in spec["added_tokens"] for c in t["content"])
         self.forget()
 
     def forget(self) -> None:
@@ -163,9 +171,16 @@ class Ids:
 
     def of(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
+        if not self.by_words:
+            return [self.raw(t.as_py() or "") for t in texts]
         data, offsets = text_of(texts)
         out: list[np.ndarray] = []
         for a, b in chunks(offsets, SPLIT):
+            if offsets[b] - offsets[a] > 2 * SPLIT:  # one long text; no word, and no token, goes across a blank
+                own = data[offsets[a] : offsets[b]]
+                parts = [own[x:y].tobytes().decode() for x, y in blank_parts(own, SPLIT)]
+                out.append(np.concatenate([self.of(pa.array([p]))[0] if len(p) <= SPLIT else self.raw(p) for p in parts]))
+                continue
             lower, start, end, odd = _split(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             each, first, which = np.unique(slice_hash(prefix_hash(lower), start, end), return_index=True, return_inverse=True)
             new = self.unknown(each)
@@ -216,17 +231,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1)
 def pack(found: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to rows with a length of 1..capacity, by best-fit decreasing over all of them."""
     spark = found.sparkSession
-    at = Window.partitionBy("length", "salt")
-    salted = stored(found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
-    counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = cut(counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")))
+    rows = stored(found, "pieces")
     # at most `capacity` rows come to the driver, however large the input is
-    sizes = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    sizes = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = spark.createDataFrame([(k, -(-n // PER_SALT)) for k, n in sizes.items()] or [(0, 1)], "length long, salts long")
+    salted = rows.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "salts")).drop("salts")
+    counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     runs = spark.createDataFrame(plan(sizes, capacity) or [(0, 0, 0, 0, 1, 0)], "length long, first long, n long, bin long, each long, free long")
     # a run's first piece is at most the piece's number: the last such run of its length has it
     by_length = runs.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "bin", "each", "free"))).alias("runs"))
-    numbered = salted.join(F.broadcast(before.select("length", "salt", "before").groupBy("length").agg(F.map_from_entries(F.collect_list(F.struct("salt", "before"))).alias("before"))), "length")
-    numbered = numbered.withColumn("rank", F.col("before")[F.col("salt")] + F.row_number().over(at.orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
+    at = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    numbered = joined(salted, before, ["length", "salt"], "inner").withColumn("rank", F.col("before") + F.row_number().over(at) - 1)
     placed = numbered.join(F.broadcast(by_length), "length").withColumn("run", F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("rank")), -1))
     into = F.col("rank") - F.col("run.first")
     sequence = F.col("run.bin") + F.floor(into / F.col("run.each"))
