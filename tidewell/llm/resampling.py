@@ -1,8 +1,9 @@
 """Quality by importance resampling: how much likelier a text is under the target's model than under that of all texts.
 
 Both models are bags of hashed word unigrams and bigrams, SLOTS shares each with add-one smoothing: one over the target, good texts, the
-other over all documents. A text's weight is the mean log ratio of its terms, times TERMS, the length at which texts are compared. A Gumbel
-variate drawn from its doc_id is added, and the texts with the largest sums are a sample without replacement by these weights.
+other over all documents. A text's importance weight is the ratio of its likelihoods, its logarithm the sum of its terms' log ratios: long texts
+weigh more, for and against, as the method has it. A Gumbel variate drawn from its doc_id is added, and the texts with the largest sums are a sample
+without replacement by these weights. per_terms instead compares all texts at one length: the mean log ratio times so many terms.
 
 The k-th largest sum is found by counting its bits, 16 at a time, on the cluster: at most 65,536 counts come to the driver.
 """
@@ -16,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import U64, arrow, chunks, lowered, mix, mix1, prefix_hash, slice_hash, small_batches, stored, text_of, words_of
+from tidewell.llm.common import U64, arrow, chunks, hashed_words, mix, mix1, small_batches, stored, text_of
 
-SLOTS, TERMS = 1 << 14, 64
+SLOTS = 1 << 14
 #: The most target texts that the target's model is fitted on, and the share of documents that is sampled.
 TARGETS, SHARE = 20_000, 0.8
 _SHIFT = U64(64 - SLOTS.bit_length() + 1)
@@ -26,9 +27,7 @@ _SHIFT = U64(64 - SLOTS.bit_length() + 1)
 
 def term_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slots of all texts' terms, and where each text's begin (one more at the end)."""
-    data = lowered(data)
-    start, end, first = words_of(data, offsets)
-    word = slice_hash(prefix_hash(data), start, end)
+    word, _, first = hashed_words(data, offsets)
     pair = mix(word * U64(mix1(21) | 1) + np.append(word[1:], U64(0)) * U64(mix1(22) | 1))
     both = np.stack([word, pair], 1)
     lasts = first[1:][np.diff(first) > 0] - 1
@@ -74,7 +73,7 @@ def ordered_bits(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
 
-def _scored(given, seed: int):
+def _scored(given, seed: int, per_terms: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = given.value
         for batch in batches:
@@ -85,7 +84,7 @@ def _scored(given, seed: int):
                 n = np.diff(at)
                 some = np.flatnonzero(n)
                 if len(some):
-                    weight[a + some] = np.add.reduceat(ratios[slots], at[some]) / n[some] * TERMS
+                    weight[a + some] = np.add.reduceat(ratios[slots], at[some]) * (1 if per_terms is None else per_terms / n[some])
                 terms[a:b] = n
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             key = np.where(terms > 0, weight + gumbel(ids, seed), -np.inf)
@@ -115,16 +114,17 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
     return low - (1 << 64) if low >> 63 else low
 
 
-def resampled(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int = 1) -> DataFrame:
+def resampled(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int = 1, per_terms: int | None = None) -> DataFrame:
     """(doc_id, n_terms, log_weight, selected) for each row of docs (doc_id, text; other columns are not looked at).
 
     target (doc_id) names good documents; if none is in docs, all weights come from smoothing alone. selected holds for the floor(share * rows)
-    rows with the largest log_weight plus Gumbel noise, and rows tied with the last of them; noise follows doc_id, so repeated rows tie. Texts
+    rows with the largest log_weight plus Gumbel noise, and rows tied with the last of them; noise follows doc_id, so repeated rows tie. per_terms, if given, is the
+    length at which texts are compared. Texts
     without words, null ones too, have weight 0 and come after all others. A row without doc_id has the noise of doc_id 0. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     given = spark.sparkContext.broadcast(log_ratios(docs, target))
-    rows = stored(docs.select("doc_id", "text").transform(arrow, _scored(given, seed), "doc_id long, n_terms long, log_weight double, key long"), "weights")
+    rows = stored(docs.select("doc_id", "text").transform(arrow, _scored(given, seed, per_terms), "doc_id long, n_terms long, log_weight double, key long"), "weights")
     least = kth_largest(rows, "key", int(share * rows.count()))
     return rows.select("doc_id", "n_terms", "log_weight", (F.lit(False) if least is None else F.col("key") >= F.lit(least)).alias("selected"))
