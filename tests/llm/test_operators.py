@@ -70,6 +70,65 @@ def rows_of(df):
     return [r.asDict() for r in df.collect()]
 
 
+@pytest.fixture(scope="module")
+def long_texts():
+    """Texts of more than two chunks, two of which share most of their words, and a short one with a passage of them."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    lines_ = [" ".join(rng.choice(vocabulary) for _ in range(12)) for _ in range(16_000)]
+    one = "\n".join(lines_[:4000] + lines_[:40] + lines_[4000:])
+    two = "\n".join(lines_[:2000] + ["Something ELSE <|endoftext|> don't"] + lines_[2001:])
+    assert len(one.encode()) > 2 * common.CHUNK
+    return [(1, one, "aa"), (2, two, "bb"), (3, "\n".join(lines_[100:130]), "aa"), (4, "x" * (2 * common.CHUNK + 9) + " y", "aa")]
+
+
+def test_long_texts_lines_and_repeats(spark, long_texts):
+    df = table(spark, long_texts)
+    want = lines_brute([(d, t) for d, t, *_ in long_texts])
+    assert {r["doc_id"]: r["n_removed"] for r in rows_of(lines.without_repeated_lines(df, "doc_id"))} == {d: len(x) for d, x in want.items()}
+    want = repeats_brute([(d, t) for d, t, *_ in long_texts], 100)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows_of(repeats.without_repeats(df))}
+    assert got == want
+
+
+def test_long_texts_words(spark, long_texts, monkeypatch):
+    """Kernels give the same for texts in parts as for texts in one piece."""
+    texts = pa.array([t for _, t, _ in long_texts])
+    data, offsets = common.text_of(texts)
+    parts = [common.hashed_words(data, offsets), fingerprints.simhash(texts), ngram_join.shingle_sets(data[: offsets[1]], offsets[:2], 3), resampling.term_slots(data, offsets)]
+    assert np.diff(parts[0][2]).tolist() == [len(t.split()) for _, t, _ in long_texts]
+    monkeypatch.setattr(common, "CHUNK", 1 << 22)
+    whole = [common.hashed_words(data, offsets), fingerprints.simhash(texts), ngram_join.shingle_sets(data[: offsets[1]], offsets[:2], 3), resampling.term_slots(data, offsets)]
+    same = np.arange(len(parts[0][0])) != len(parts[0][0]) - 2  # the word of more than a chunk has another hash, the same wherever it is
+    assert np.array_equal(parts[0][0][same], whole[0][0][same]) and np.array_equal(parts[1][:3], whole[1][:3])
+    assert all(np.array_equal(x, y) for x, y in zip(parts[2], whole[2], strict=True)) and np.array_equal(parts[3][1], whole[3][1])
+    df = table(spark, long_texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(ngram_join.jaccard_components(df, 3, 90, 100))}
+    sets = {d: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or {tuple(w)} for d, t, _ in long_texts for w in ["".join(c.lower() if c.isascii() else c for c in t).split()]}
+    assert got == {d: (len(sets[d]), {2: 1}.get(d, d)) for d in sets} and len(sets[1] & sets[2]) >= 0.9 * len(sets[1] | sets[2])
+
+
+def test_long_texts_language_and_packing(spark, long_texts, monkeypatch):
+    rng = np.random.default_rng(3)
+    for n, langs in ((1, 3), (2, 2), (50, 3), (997, 4)):
+        scores, moves = rng.normal(size=(n, langs)).astype(np.float32) * 3, rng.normal(size=(langs, langs))
+        _, step, _ = langid.by_time(np.array([0, n]))
+        assert np.allclose(langid.posterior_of_long(scores, moves), langid._posterior(scores, step, moves), atol=1e-3)
+    model = langid.fit([(t, lang) for _, t, lang in language_docs()])
+    texts = ["kalo mitu", *(t for _, t, _ in long_texts), None, "shrent " * 9]
+    names, scores = model.predict(texts)
+    monkeypatch.setattr(langid, "FEATURED", 1 << 23)
+    monkeypatch.setattr(langid, "BLOCKED", 1 << 40)
+    whole = model.predict(texts)
+    rest = [0, 1, 2, 3, 5, 6]  # the word longer than a part counts as several
+    assert [names[k] for k in rest] == [whole[0][k] for k in rest] and np.allclose(scores[rest], whole[1][rest], atol=1e-3) and names[-2:] == ["und", "bb"]
+    ids = packing.Ids(tokenizer_file())
+    some = [t for _, t, _ in long_texts]
+    for got, text in zip(ids.of(pa.array(some)), some, strict=True):
+        assert np.array_equal(got, ids.raw(text))
+    assert ids.by_words
+
+
 # ------------------------------------------------------------------ common
 
 
@@ -124,6 +183,38 @@ def test_lines(spark, seed):
         assert (r["n_lines"], r["n_removed"]) == (text.count("\n") + 1, len(want[r["doc_id"]]))
 
 
+def test_lines_rounds(spark):
+    """Ranks of all rounds keep the order of suffixes, an interval's suffixes have its rank, and the last round has none."""
+    docs = corpus(3, 40)
+    units = {}
+    for d, text, *_ in docs:
+        own = []
+        for line in text.split("\n"):
+            n = len(line.encode().split())
+            raw = hashlib.md5(line.encode()).digest()
+            hi, lo = int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+            own += [(hi, lo ^ j) for j in range(min(4, -(-n // 16)))]
+        units[d] = own
+    rounds = lines.intervals(table(spark, docs))
+    assert len(rounds) > 1 and rounds[-1].isEmpty()
+    for k, found in enumerate(rounds):
+        span = 4 << k
+        groups = collections.defaultdict(list)
+        for d, own in units.items():
+            for at in range(len(own) - span + 1):
+                groups[tuple(own[at : at + span])].append((d, at))
+        tied = {x: sorted(v) for x, v in groups.items() if len(v) > 1}
+        got = rows_of(found)
+        assert sorted((r["doc_id"], r["at"]) for r in got) == sorted(x for v in tied.values() for x in v)
+        key = {(d, at): x for x, v in tied.items() for d, at in v}
+        ranks = {}
+        for r in got:
+            assert tuple(r["first"]) == tied[key[r["doc_id"], r["at"]]][0]
+            assert ranks.setdefault(key[r["doc_id"], r["at"]], r["rank"]) == r["rank"]
+        ordered = [ranks[x] for x in sorted(ranks)]
+        assert ordered == sorted(ordered) and len(set(ordered)) == len(ordered)
+
+
 def test_lines_hard(spark, hard, empty):
     got = rows_of(lines.without_repeated_lines(hard, "doc_id", "key"))
     assert len(got) == len(HARD) and all(r["n_removed"] == 0 for r in got if r["doc_id"] not in (10,))
@@ -412,6 +503,24 @@ def test_join_with_a_repeated_id(spark):
 # ------------------------------------------------------------------ 8 resampling
 
 
+def mix_plain(x):
+    x &= 2**64 - 1
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> shift)) * factor & 2**64 - 1
+    return x ^ (x >> 31)
+
+
+def term_slots_plain(text):
+    """The slots of words and pairs, from the definition of the hashes."""
+    def word(w):
+        raw = w.lower().encode()
+        return mix_plain(sum(mix_plain((c + 1) * 0x9E3779B97F4A7C15) * pow(common.BASE, k, 2**64) for k, c in enumerate(raw)) + len(raw))
+
+    own = [word(w) for w in text.split()]
+    pairs = [mix_plain(a * (mix_plain(21) | 1) + b * (mix_plain(22) | 1)) for a, b in zip(own, own[1:])]
+    return [h >> 50 for h in own + pairs]
+
+
 def test_resampling(spark, hard, empty):
     rng = random.Random(2)
     good, bad = [f"g{k}" for k in range(30)], [f"b{k}" for k in range(30)]
@@ -421,11 +530,19 @@ def test_resampling(spark, hard, empty):
     got = rows_of(resampling.resampled(df, target, share=0.5))
     assert sum(r["selected"] for r in got) == 150
     assert sum(r["selected"] for r in got if r["doc_id"] % 3 == 0) <= 3
-    ratios = resampling.log_ratios(df, target)
-    for r in got[:20]:
-        data = np.frombuffer(docs[r["doc_id"]][1].encode(), np.uint8)
-        slots, _ = resampling.term_slots(data, np.array([0, len(data)]))
-        assert abs(r["log_weight"] - ratios[slots].mean() * resampling.TERMS) < 1e-6 and r["n_terms"] == 79
+    # models, weights, noise and choice once more, one word at a time
+    slots = {k: term_slots_plain(t) for k, t in docs}
+    every = collections.Counter(x for t in slots.values() for x in t)
+    chosen = collections.Counter(x for k, t in slots.items() if k % 3 and k % 2 for x in t)
+    size, wanted = resampling.SLOTS + sum(every.values()), resampling.SLOTS + sum(chosen.values())
+    weight = {k: sum(math.log((1 + chosen[x]) / wanted) - math.log((1 + every[x]) / size) for x in t) for k, t in slots.items()}
+    noise = {k: -math.log(-math.log(((mix_plain(k + mix_plain(1)) >> 11) + 0.5) / 2**53)) for k in weight}
+    best = set(sorted(weight, key=lambda k: -(weight[k] + noise[k]))[:150])
+    for r in got:
+        assert abs(r["log_weight"] - weight[r["doc_id"]]) < 1e-6 and r["n_terms"] == 79
+        assert r["selected"] == (r["doc_id"] in best)
+    at_one_length = {r["doc_id"]: r["log_weight"] for r in rows_of(resampling.resampled(df, target, per_terms=64))}
+    assert all(abs(at_one_length[k] - weight[k] / 79 * 64) < 1e-6 for k in weight)
     assert len(rows_of(resampling.resampled(hard, target))) == len(HARD)
     assert resampling.resampled(empty, target).count() == 0
     longs = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(50)] + [5, 5, 5]
