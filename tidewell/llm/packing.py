@@ -21,8 +21,8 @@ from tokenizers import Tokenizer
 
 from tidewell.llm.common import U64, arrow, blank_parts, chunks, cut, joined, prefix_hash, slice_hash, small_batches, stored, text_of
 
-#: Pieces of one length that a task numbers, on average: common lengths are dealt out in as many parts as that takes.
-PER_SALT = 20_000
+#: Pieces of one length and part, on average: common lengths are dealt out in as many parts as that takes.
+PER_SALT = 256
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 #: Bytes of text that are split at once, and new words that are encoded in one call.
