@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import intervals as iv
@@ -119,13 +119,13 @@ def legal_values(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("pattern", "channel", "value", F.array_max(F.filter("d", lambda x: x <= F.col("value"))).alias("legal_down"), F.coalesce(F.array_min(F.filter("d", lambda x: x >= F.col("value"))), F.lit(98)).alias("legal_up"), (-near["b"]).alias("nearest"))
 
 
-_EXT = "SELECT user_id % 4 AS room, event_id % 3 AS kind, event_type = 'click' AS on_, ts_ms AS start_ms, ts_ms + 1800000 AS end_ms FROM ev WHERE event_type IN ('click', 'signup') AND event_id % 7 = 0"
+_EXT = "SELECT user_id % 4 AS room, event_id % 3 AS kind, event_type = 'click' AS on_, ts_ms AS start_ms, ts_ms + 1800000 AS end_ms FROM ev WHERE event_type IN ('click', 'signup')"
 
 
 @query(with_views(islands("SELECT room, start_ms, end_ms, CASE WHEN a > 0 THEN 'present' WHEN b > 0 THEN 'not_present' END AS state FROM (" + "SELECT * FROM (SELECT room, t AS start_ms, lead(t) OVER w AS end_ms, sum(a) OVER w AS a, sum(b) OVER w AS b FROM (SELECT room, t, sum(a) AS a, sum(b) AS b FROM (SELECT room, unnest([start_ms, end_ms]) AS t, unnest([1, -1]) * on_::INT AS a, unnest([1, -1]) * (NOT on_)::INT AS b FROM ex) GROUP BY room, t) WINDOW w AS (PARTITION BY room ORDER BY t)) WHERE end_ms IS NOT NULL" + ") WHERE a > 0 OR b > 0", "room", "state"), ex=_EXT))
 def external_state(spark: SparkSession, sf: str) -> DataFrame:
     """Outside sources of a room as one state: any that is on wins, all that are there must be off for Empty."""
-    rows = ad.events(spark, sf).where("event_type in ('click', 'signup') and event_id % 7 = 0")
+    rows = ad.events(spark, sf).where("event_type in ('click', 'signup')")
     rows = rows.select((F.col("user_id") % 4).alias("room"), (F.col("event_type") == "click").cast("int").alias("on_"), F.col("ts_ms").alias(S), (F.col("ts_ms") + 1_800_000).alias(E))
     found = iv.depth(rows, ["room"], a=F.col("on_"), b=1 - F.col("on_")).where("a > 0 or b > 0")
     return iv.coalesce(found.select("room", S, E, F.when(F.col("a") > 0, "present").otherwise("not_present").alias("state")), ["room"], ["state"])
@@ -137,12 +137,27 @@ def presence_priority(spark: SparkSession, sf: str) -> DataFrame:
     return ad.groups(spark).groupBy("device").agg(F.max("priority").alias("priority"), F.count(F.lit(1)).alias("rooms"))
 
 
-@query("WITH RECURSIVE q AS (SELECT user_id % 8 AS device, event_id, event_type = 'error' AS wrong, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS n FROM events WHERE event_id % 20 = 0), f AS (SELECT device, n, (CASE WHEN wrong THEN 4 ELSE -0.5 END) AS bias FROM q WHERE n = 1 UNION ALL SELECT q.device, q.n, greatest(-10, least(40, f.bias + CASE WHEN q.wrong THEN 4 ELSE -0.5 END)) FROM f JOIN q ON q.device = f.device AND q.n = f.n + 1) SELECT device, n AS feedbacks, (bias * 10)::BIGINT AS bias_percent FROM f WHERE (device, n) IN (SELECT (device, max(n)) FROM f GROUP BY device)")
+@query("SELECT user_id % 8 AS device, count(*) AS feedbacks, list_reduce(list_prepend(0::BIGINT, list((CASE WHEN event_type = 'error' THEN 40 ELSE -5 END)::BIGINT ORDER BY ts, event_id)), lambda b, x: greatest(-100, least(400, b + x))) AS bias_percent FROM events GROUP BY user_id % 8")
 def feedback_bias(spark: SparkSession, sf: str) -> DataFrame:
-    """The bias after all feedback: up 0.4 when wrong, down 0.05 when right, clamped at each step to -1..4 (L23). An ordered fold of a device's few feedbacks."""
-    rows = ad.events(spark, sf).where("event_id % 20 = 0").select((F.col("user_id") % 8).alias("device"), F.struct("ts_ms", "event_id", F.when(F.col("event_type") == "error", 40).otherwise(-5).alias("step")).alias("x"))
-    fold = F.aggregate(F.array_sort(F.collect_list("x")), F.lit(0).cast("long"), lambda b, x: F.greatest(F.lit(-100), F.least(F.lit(400), b + x["step"])).cast("long"))
-    return rows.groupBy("device").agg(F.count(F.lit(1)).alias("feedbacks"), fold.alias("bias_percent"))
+    """The bias after all feedback: up 0.4 when wrong, down 0.05 when right, clamped at each step to -1..4.
+
+    Steps x -> clamp(x + s, lo, hi) make such a step again when one follows another, so the feedback of a device's day is folded to one step, and days to the bias.
+    """
+    low, high = F.lit(-100).cast("long"), F.lit(400).cast("long")
+
+    def then(b: Column, x: Column) -> Column:
+        def held(v: Column) -> Column:
+            return F.greatest(x["lo"], F.least(x["hi"], v))
+
+        return F.struct((b["s"] + x["s"]).alias("s"), held(b["lo"] + x["s"]).alias("lo"), held(b["hi"] + x["s"]).alias("hi"))
+
+    none = F.struct(F.lit(0).cast("long").alias("s"), F.lit(-(1 << 40)).alias("lo"), F.lit(1 << 40).alias("hi"))
+    step = F.struct(F.when(F.col("event_type") == "error", 40).otherwise(-5).cast("long").alias("s"), low.alias("lo"), high.alias("hi"))
+    rows = ad.events(spark, sf).select((F.col("user_id") % 8).alias("device"), F.floor(F.col("ts_ms") / DAY).alias("day"), F.struct("ts", "event_id", step.alias("x")).alias("x"))
+    days = rows.groupBy("device", "day").agg(F.count(F.lit(1)).alias("n"), F.aggregate(F.array_sort(F.collect_list("x")), none, lambda b, x: then(b, x["x"])).alias("x"))
+    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("day", "x"))), none, lambda b, x: then(b, x["x"]))
+    out = days.groupBy("device").agg(F.sum("n").alias("feedbacks"), whole.alias("x"))
+    return out.select("device", "feedbacks", F.greatest(F.col("x.lo"), F.least(F.col("x.hi"), F.col("x.s"))).alias("bias_percent"))
 
 
 @query(with_views("SELECT c.device, c.pattern, md5(c.device || ':' || c.pattern || ':' || coalesce(present_ms, -1) || ':' || coalesce(empty_ms, -1)) AS signature FROM cp c WHERE c.device % 2 = 0", **PRICE))

@@ -58,22 +58,22 @@ def label_rows(df: DataFrame) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(device, ord, start_ms, end_ms, state, source, confidence in per cent): a fifth of the label events; they overlap."""
-    rows = label_rows(events(spark, sf_dir).where("event_id % 5 = 0"))
+    """(device, ord, start_ms, end_ms, state, source, confidence in per cent) from all label events; they overlap."""
+    rows = label_rows(events(spark, sf_dir))
     return rows.select((F.col("user_id") % 8).alias("device"), "ord", "start_ms", "end_ms", "state", "source", "confidence")
 
 
 def room_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for zones: (zone, ord, ...)."""
-    rows = label_rows(events(spark, sf_dir).where("event_id % 5 = 1"))
+    """The same for zones: (zone, ord, ...). Every label event is a label of its user's device and of the user's zone."""
+    rows = label_rows(events(spark, sf_dir))
     return rows.select(F.concat(F.lit("z"), (F.col("user_id") % 4).cast("string")).alias("zone"), "ord", "start_ms", "end_ms", "state", "source", "confidence")
 
 
 def guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(device, start_ms, end_ms, state, level, basis): runs from every other view event, each until the next or for two hours."""
+    """(device, start_ms, end_ms, state, level, basis): runs from the view events, each until the next or for two hours."""
     from pyspark.sql import Window
 
-    rows = events(spark, sf_dir).where("event_type = 'view' and event_id % 2 = 0").withColumn("device", F.col("user_id") % 8)
+    rows = events(spark, sf_dir).where("event_type = 'view'").withColumn("device", F.col("user_id") % 8)
     after = F.lead("ts_ms").over(Window.partitionBy("device").orderBy("ts_ms", "event_id"))
     end = F.least(F.coalesce(after, F.col("ts_ms") + 2 * HOUR), F.col("ts_ms") + 2 * HOUR)
     out = rows.select("device", F.col("ts_ms").alias("start_ms"), end.alias("end_ms"), F.when(F.col("value") > 30, "present").otherwise("not_present").alias("state"), (11 + F.col("event_id") % 9).cast("int").alias("level"), (1 + F.floor(F.col("event_id") / 2) % 2).cast("int").alias("basis"))
@@ -108,9 +108,9 @@ _LABEL = f"""event_id AS ord, ts_ms AS start_ms, ts_ms + CASE event_type WHEN 'p
 VIEWS = {
     "ev": "SELECT *, epoch_us(ts) // 1000 AS ts_ms FROM events",
     "r": "SELECT user_id % 8 AS device, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS channel, ts_ms, event_id AS seq, CASE WHEN event_id % 50 <> 0 THEN least(100, ceil(value))::INT END AS energy FROM ev",
-    "lab": f"SELECT user_id % 8 AS device, {_LABEL} AND event_id % 5 = 0",
-    "rlab": f"SELECT 'z' || (user_id % 4) AS zone, {_LABEL} AND event_id % 5 = 1",
-    "gs": f"SELECT * FROM (SELECT user_id % 8 AS device, ts_ms AS start_ms, least(coalesce(lead(ts_ms) OVER (PARTITION BY user_id % 8 ORDER BY ts_ms, event_id), ts_ms + {2 * HOUR}), ts_ms + {2 * HOUR}) AS end_ms, CASE WHEN value > 30 THEN 'present' ELSE 'not_present' END AS state, (11 + event_id % 9)::INT AS level, (1 + event_id // 2 % 2)::INT AS basis FROM ev WHERE event_type = 'view' AND event_id % 2 = 0) WHERE end_ms > start_ms",
+    "lab": f"SELECT user_id % 8 AS device, {_LABEL}",
+    "rlab": f"SELECT 'z' || (user_id % 4) AS zone, {_LABEL}",
+    "gs": f"SELECT * FROM (SELECT user_id % 8 AS device, ts_ms AS start_ms, least(coalesce(lead(ts_ms) OVER (PARTITION BY user_id % 8 ORDER BY ts_ms, event_id), ts_ms + {2 * HOUR}), ts_ms + {2 * HOUR}) AS end_ms, CASE WHEN value > 30 THEN 'present' ELSE 'not_present' END AS state, (11 + event_id % 9)::INT AS level, (1 + event_id // 2 % 2)::INT AS basis FROM ev WHERE event_type = 'view') WHERE end_ms > start_ms",
     "sp": f"SELECT * FROM (SELECT device, channel, ts_ms AS start_ms, least(coalesce(lead(ts_ms) OVER (PARTITION BY device, channel ORDER BY ts_ms, seq), ts_ms + {SCALE.hold}), ts_ms + {SCALE.hold}) AS end_ms, energy FROM r) WHERE end_ms > start_ms",
     "v0": f"SELECT *, CASE WHEN ts_ms <= lag(ts_ms) OVER (PARTITION BY device ORDER BY ts_ms, seq) + {SCALE.hold} THEN 0 ELSE 1 END AS fresh FROM r",
     "v1": "SELECT *, sum(fresh) OVER (PARTITION BY device ORDER BY ts_ms, seq) AS session FROM v0",
