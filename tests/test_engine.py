@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions.temporal import State, step
+from tidewell.functions.temporal import Filter, State, advanced, step
 from tidewell.operators import detector as dt
 from tidewell.operators import histograms as hg
 from tidewell.operators import intervals as iv
@@ -158,6 +158,26 @@ def test_filter_resets_and_confirms():
     assert step(s, 0, None).ts_ms == s.ts_ms
 
 
+def test_filter_rules_by_hand():
+    """Worked by hand: the prior drifts to 0.8 in units, evidence counts by time, silence leads back to one half, confirmation ends with the label."""
+    assert advanced(0.5, 0.0, 1) == pytest.approx(0.515) and advanced(0.9, 0.0, 1) == pytest.approx(0.895)
+    assert advanced(0.5, 0.0, 2.5) == pytest.approx(0.8 - 0.3 * 0.95**2.5)
+    odds = 0.515 / 0.485 * 2.718281828459045
+    assert advanced(0.5, 1.0, 1) == pytest.approx(odds / (1 + odds)) and advanced(0.5, 1.0, 0) == 0.5
+    quiet = step(State(), 0, 20)  # elevation -0.6 for a unit: below one half, but not empty yet
+    assert quiet.probability == pytest.approx(1 / (1 + 0.485 / 0.515 * 2.718281828459045**0.6)) and quiet.pending == "unknown"
+    unit, now = Filter().unit_ms, quiet
+    for k in range(1, 12):
+        now = step(now, k * unit, 20)
+    assert now.pending == now.confirmed == "not_present"
+    silent = step(now, 12 * unit, None)  # no reading, no answer; the probability is on its way back
+    assert silent.confirmed == silent.held == "unknown" and silent.probability == pytest.approx(0.5 + (now.probability - 0.5) * 0.9)
+    loud = step(silent, 13 * unit, 90)
+    assert (loud.pending, loud.confirmed) == ("present", "unknown") and step(loud, 14 * unit, 90).confirmed == "present"
+    again = step(State(), 13 * unit, 90)
+    assert step(again, 13 * unit + Filter().confirm_present_ms - 1, 90).confirmed == "unknown"
+
+
 @pytest.mark.parametrize("name", ["labels_last_wins", "labelled_histogram", "guess_at", "room_truth", "pattern_cost", "grid_cells"])
 def test_no_nested_loops(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -347,7 +347,7 @@ _CONF = "SELECT device, pattern, count(*) FILTER (present AND hit) AS tp, count(
 
 @query(with_views("SELECT *, round(tp / greatest(tp + fn, 1)::DOUBLE, 6)::DOUBLE AS sensitivity, round(fp / greatest(fp + tn, 1)::DOUBLE, 6)::DOUBLE AS false_rate FROM cf", **PURE, cf=_CONF))
 def confusion(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells of each class that each pattern detects, or not."""
+    """Cells of each class that each pattern detects, or not."""
     hit = sp.any_above(GATES, [F.element_at("thresholds", k + 1) for k in range(len(GATES))])
     rows = pure(spark, sf).crossJoin(F.broadcast(ad.patterns(spark))).select("device", "pattern", (F.col("state") == "present").alias("p"), hit.alias("h"))
     count = lambda c: F.count(F.when(c, 1))

@@ -1,4 +1,4 @@
-"""References, groups, timing, outside sources and plans."""
+"""References, groups, timing, outside sources and plans."""
 
 from __future__ import annotations
 
@@ -124,7 +124,7 @@ _EXT = "SELECT user_id % 4 AS room, event_id % 3 AS kind, event_type = 'click' A
 
 @query(with_views(islands("SELECT room, start_ms, end_ms, CASE WHEN a > 0 THEN 'present' WHEN b > 0 THEN 'not_present' END AS state FROM (" + "SELECT * FROM (SELECT room, t AS start_ms, lead(t) OVER w AS end_ms, sum(a) OVER w AS a, sum(b) OVER w AS b FROM (SELECT room, t, sum(a) AS a, sum(b) AS b FROM (SELECT room, unnest([start_ms, end_ms]) AS t, unnest([1, -1]) * on_::INT AS a, unnest([1, -1]) * (NOT on_)::INT AS b FROM ex) GROUP BY room, t) WINDOW w AS (PARTITION BY room ORDER BY t)) WHERE end_ms IS NOT NULL" + ") WHERE a > 0 OR b > 0", "room", "state"), ex=_EXT))
 def external_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Outside sources of a room as one state: any that is on wins, all that are there must be off for Empty."""
+    """Outside sources of a room as one state: any that is on wins, all that are there must be off for Empty."""
     rows = ad.events(spark, sf).where("event_type in ('click', 'signup')")
     rows = rows.select((F.col("user_id") % 4).alias("room"), (F.col("event_type") == "click").cast("int").alias("on_"), F.col("ts_ms").alias(S), (F.col("ts_ms") + 1_800_000).alias(E))
     found = iv.depth(rows, ["room"], a=F.col("on_"), b=1 - F.col("on_")).where("a > 0 or b > 0")

@@ -103,7 +103,7 @@ def costs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_views("SELECT * FROM cp", **PRICE))
 def pattern_cost(spark: SparkSession, sf: str) -> DataFrame:
-    """The core cost of every pattern; null unless both classes were observed."""
+    """The core cost of every pattern; null unless both classes were observed (A15, A13, L20). Manual time only, without episodes."""
     return costs(spark, sf)
 
 

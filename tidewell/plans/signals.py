@@ -193,7 +193,7 @@ def exclusive_seconds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_views("SELECT device, channel, day, greatest(start_ms, day * 86400000) AS start_ms, least(end_ms, (day + 1) * 86400000) AS end_ms, energy FROM (SELECT *, unnest(range(start_ms // 86400000, (end_ms - 1) // 86400000 + 1)) AS day FROM sp)"))
 def spans_by_day(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans cut at midnight, UTC."""
+    """Spans cut at midnight, UTC."""
     return iv.split(holds(spark, sf), DAY, "day")
 
 

@@ -166,7 +166,7 @@ def quiet_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_views("SELECT device, channel, " + ", ".join(f"{x} AS {n}" for n, x in (("noise", "coalesce(min(energy) FILTER (state = 'not_present' AND cum > floor((total - 1) * 0.99)), 0)"), ("low", "min(energy) FILTER (state = 'present' AND cum >= total * 0.25)"), ("high", "max(energy) FILTER (state = 'present')"))) + " FROM (SELECT *, sum(ms) OVER (PARTITION BY device, channel, state ORDER BY energy)::BIGINT AS cum, sum(ms) OVER (PARTITION BY device, channel, state)::BIGINT AS total FROM lh) GROUP BY device, channel", pc=PIECES, ll=LAST, lh=LHIST))
 def class_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """Per channel the noise of Empty, and the lower quartile and top of Present."""
+    """Per channel the noise of Empty, and the lower quartile and top of Present."""
     rows = hg.cumulated(hg.durations(labelled(spark, sf), ["device", "channel", "state"]), ["device", "channel", "state"])
     of = lambda state, c, f=F.min: f(F.when((F.col("state") == state) & c, F.col("energy")))
     return rows.groupBy("device", "channel").agg(F.coalesce(of("not_present", F.col("cum") > F.floor((F.col("total") - 1) * 0.99)), F.lit(0)).alias("noise"), of("present", F.col("cum") >= F.col("total") * 0.25).alias("low"), of("present", F.lit(True), F.max).alias("high"))

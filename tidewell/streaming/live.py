@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import astuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -59,17 +60,23 @@ class Changes(StatefulProcessor):
         self.value = handle.getMapState("value", StructType([StructField("channel", LongType())]), StructType([StructField("energy", DoubleType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """State is read and written once a batch; a reading is held against the one before it on its channel."""
         last = self.last.get()[0] if self.last.exists() else -1
-        out = []
-        for r in pd.concat(rows).sort_values(["ts_ms", "seq"]).itertuples():
-            last = max(last, int(r.ts_ms))
-            energy = None if pd.isna(r.energy) else float(r.energy)
-            at = (int(r.channel),)
-            if not self.value.containsKey(at) or self.value.getValue(at)[0] != energy:
-                self.value.updateValue(at, (energy,))
-                out.append((key[0], int(r.channel), last, int(r.seq), energy))
-        self.last.update((last,))
-        yield pd.DataFrame(out, columns=["device", "channel", "ts_ms", "seq", "energy"])
+        now = pd.concat(rows).sort_values(["ts_ms", "seq"], kind="stable", ignore_index=True)
+        now["ts_ms"] = now["ts_ms"].cummax().clip(lower=last).astype("int64")
+        now["energy"] = now["energy"].astype("float64")
+        channels = now["channel"].unique()
+        known = {int(c): self.value.getValue((int(c),))[0] for c in channels if self.value.containsKey((int(c),))}
+        before = now.groupby("channel")["energy"].shift()
+        first = ~now["channel"].duplicated()
+        before[first] = now.loc[first, "channel"].map(lambda c: known.get(int(c))).astype("float64")
+        new = first & ~now["channel"].isin(list(known))
+        same = (now["energy"] == before) | (now["energy"].isna() & before.isna())
+        for r in now[~now["channel"].duplicated(keep="last")].itertuples():
+            self.value.updateValue((int(r.channel),), (None if pd.isna(r.energy) else float(r.energy),))
+        self.last.update((int(now["ts_ms"].iloc[-1]),))
+        out = now[new | ~same]
+        yield out.assign(device=key[0])[["device", "channel", "ts_ms", "seq", "energy"]]
 
     def close(self) -> None:
         pass
@@ -79,7 +86,7 @@ class Presence(StatefulProcessor):
     """The temporal filter with confirmation, for each reading."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [StructField("ts_ms", LongType()), StructField("probability", DoubleType()), StructField("pending", StringType()), StructField("since_ms", LongType()), StructField("confirmed", StringType())]
+        fields = [StructField("ts_ms", LongType()), StructField("probability", DoubleType()), StructField("pending", StringType()), StructField("since_ms", LongType()), StructField("confirmed", StringType()), StructField("held", StringType()), StructField("supported_ms", LongType())]
         self.state = handle.getValueState("state", StructType(fields))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -88,7 +95,7 @@ class Presence(StatefulProcessor):
         for r in pd.concat(rows).sort_values(["ts_ms", "seq"]).itertuples():
             state = step(state, int(r.ts_ms), None if pd.isna(r.energy) else float(r.energy))
             out.append((key[0], int(r.seq), state.ts_ms, round(state.probability, 6), state.pending, state.confirmed))
-        self.state.update((state.ts_ms, state.probability, state.pending, state.since_ms, state.confirmed))
+        self.state.update(astuple(state))
         yield pd.DataFrame(out, columns=["device", "seq", "ts_ms", "probability", "state", "confirmed"])
 
     def close(self) -> None:
