@@ -124,12 +124,13 @@ def best_slots(spark: SparkSession, sf: str) -> DataFrame:
     return costs(spark, sf).withColumn("place", F.rank().over(line)).where("place = 1").select("device", "pattern", "partial_cost", "place")
 
 
-@query(with_views("SELECT a.device, a.pattern, b.partial_cost AS current_cost, a.partial_cost AS candidate_cost, a.cost IS NOT NULL AND a.cost < b.cost AS improves FROM cp a JOIN cp b ON b.device = a.device AND b.pattern = 0 WHERE a.pattern <> 0", **PRICE))
+@query(with_views("SELECT a.device, a.pattern, b.partial_cost AS current_cost, a.partial_cost AS candidate_cost, coalesce(a.m * (a.missed_ms / a.present_ms) + a.false_ms / a.empty_ms < b.m * (b.missed_ms / b.present_ms) + b.false_ms / b.empty_ms, false) AS improves FROM cp a JOIN cp b ON b.device = a.device AND b.pattern = 0 WHERE a.pattern <> 0", **PRICE))
 def apply_decision(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a candidate is strictly cheaper than what is set."""
+    """Whether a candidate is strictly cheaper than what is set, by unrounded cost."""
     rows = costs(spark, sf)
-    now = rows.where("pattern = 0").select("device", F.col("cost").alias("c0"), F.col("partial_cost").alias("current_cost"))
-    better = F.coalesce(F.col("cost") < F.col("c0"), F.lit(False))
+    rows = rows.withColumn("raw", F.col("m") * (F.col("missed_ms") / F.col("present_ms")) + F.col("false_ms") / F.col("empty_ms"))
+    now = rows.where("pattern = 0").select("device", F.col("raw").alias("raw0"), F.col("partial_cost").alias("current_cost"))
+    better = F.coalesce(F.col("raw") < F.col("raw0"), F.lit(False))
     return rows.where("pattern != 0").join(now, "device").select("device", "pattern", "current_cost", F.col("partial_cost").alias("candidate_cost"), better.alias("improves"))
 
 
