@@ -41,14 +41,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Paths of tables that stored() has written, in order.
+WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing will read again, by Spark's own file systems."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: The most rows of a few numbers each that are broadcast (about 20 MB); beyond that, the other side is shuffled.
 BROADCAST = 400_000
 #: Documents in an Arrow batch, so that two Python workers and their executor stay small; a lower setting of the session stays.
