@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import entry, langid, lines, mixing, ngram_join, packing
-from tidewell.llm.common import joined, shared_dir, stored
+from tidewell.llm.common import WRITTEN, discard, joined, shared_dir, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST, CAPACITY = 0.4, 4096
@@ -75,13 +75,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. Once a stage's result is written, or has failed, its intermediate tables and its input from the stage before go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        before, path, first = path, f"{folder}/{k}-{name}", len(WRITTEN)
+        try:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        finally:
+            discard(spark, WRITTEN[first:])
+            del WRITTEN[first:]
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, [before])
     return docs
 
 
