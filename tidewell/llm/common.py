@@ -63,16 +63,18 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 
 #: The most rows of a few numbers each that are broadcast (about 20 MB); beyond that, the other side is shuffled.
 BROADCAST = 400_000
+#: The most nodes of a graph whose minima are broadcast, in each of many rounds, through the driver.
+FEW_NODES = 50_000
 #: Documents in an Arrow batch, so that two Python workers and their executor stay small; a lower setting of the session stays.
 BATCH_ROWS = 1000
 #: Bytes of such a batch; a longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
 
 
-def joined(big: DataFrame, few: DataFrame, on: str | list[str], how: str, written: bool = False) -> DataFrame:
-    """A join of texts with a narrow table, which is written and counted first: broadcast up to BROADCAST rows, else a shuffle of both sides."""
+def joined(big: DataFrame, few: DataFrame, on: str | list[str], how: str, written: bool = False, most: int = BROADCAST) -> DataFrame:
+    """A join of texts with a narrow table, which is written and counted first: broadcast up to `most` rows, else a shuffle of both sides."""
     few = few if written else cut(few)
-    return big.join(F.broadcast(few) if few.count() <= BROADCAST else few, on, how)
+    return big.join(F.broadcast(few) if few.count() <= most else few, on, how)
 
 
 def arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -255,9 +257,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = joined(both.where(v > u), least, "u", "inner").select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
+        large = joined(both.where(v > u), least, "u", "inner", most=FEW_NODES).select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
         smallest = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = joined(large, smallest, "u", "inner", written=True)
+        small = joined(large, smallest, "u", "inner", written=True, most=FEW_NODES)
         now = cut(small.select(v.alias("u"), F.col("m").alias("v")).where(u != v).union(smallest.select("u", F.col("m").alias("v"))).distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
