@@ -1,11 +1,15 @@
 """Recordings at rest, revisions and the commands."""
 
+import os
+
 import pytest
 
+from tidewell import api
 from tidewell.api import Engine
-from tidewell.plans.signals import holds
+from tidewell.plans.signals import GATES, holds, vectors
+from tidewell.sources import adapter as ad
 from tidewell.sources import store
-from tidewell.sources.adapter import DAY
+from tidewell.sources.adapter import DAY, HOUR
 
 SF = "/root/testdata/sf0.001"
 NOON = 19_723 * DAY + DAY // 2
@@ -53,3 +57,89 @@ def test_commands(spark, tmp_path):
     page = engine.recording_rows(1, 19_724, limit=5)
     assert page.count() <= 5 and page.columns[0] == "start_ms"
     assert engine.series([1], [0, 1], 10**13, 10**7).count() > 0 and engine.recording_days(1).count() > 0
+
+
+def test_a_revision_is_claimed(spark, tmp_path):
+    table = store.Revisions(spark, f"{tmp_path}/t", "a long")
+    rows = spark.createDataFrame([(1,)], "a long")
+    assert table.commit(rows, 0) == 1
+    (tmp_path / "t" / "_claim-2").touch()
+    with pytest.raises(store.Conflict):
+        table.commit(rows, 1)
+    assert table.latest() == 1 and sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")) == ["_claim-2", "rev=1"]
+    os.utime(tmp_path / "t" / "_claim-2", (0, 0))
+    assert table.commit(rows, 1) == 2
+    assert not list((tmp_path / "t").glob("_*"))
+
+
+def test_live_labels_and_feedback(spark, tmp_path):
+    engine = Engine(spark, SF, str(tmp_path))
+    rows = lambda: sorted((r["owner"], r["start_ms"], r["end_ms"], r["state"], r["source"]) for r in engine.labels.read().collect())
+    engine.set_training_state("1", "present", 100, timeout_ms=50)
+    engine.set_training_state("1", "not_present", 400)
+    assert rows() == [("1", 100, 150, "present", "live")]
+    engine.set_training_state("1", "unknown", 460)
+    assert rows() == [("1", 100, 150, "present", "live"), ("1", 400, 460, "not_present", "live")]
+    assert engine.live.read().count() == 0
+    with pytest.raises(ValueError):
+        engine.set_training_state("1", "maybe", 500)
+    assert [engine.auto_feedback(1, "not_present", ok) for ok in (True, False, False, True)] == [0.0, 0.4, 0.675, 0.625]
+    assert engine.auto_feedback(1, "present", True) == -0.05
+    zone = engine.query("current_stretch").where("state != 'unknown'").first()
+    engine.room_estimate_feedback(zone["zone"], False)
+    (said,) = [r for r in rows() if r[0] == zone["zone"]]
+    assert said[2] == zone["end_ms"] and 0 < said[2] - said[1] <= HOUR and said[3] != zone["state"]
+    with pytest.raises(ValueError):
+        engine.room_estimate_feedback("nowhere", True)
+    engine.clear(1)
+    assert {r[0] for r in rows()} == {zone["zone"]}
+
+
+def test_overnight_leaves_out_what_was_learned_from_the_same_evidence(spark, tmp_path, monkeypatch):
+    engine, seen = Engine(spark, SF, str(tmp_path)), {(0, 0): "a", (0, 1): "b", (1, 0): "c"}
+    monkeypatch.setattr(api, "signatures", lambda *_: spark.createDataFrame([(*k, v) for k, v in seen.items()], api.SIGNATURES))
+    todo = lambda: sorted((r["device"], r["pattern"]) for r in engine.overnight().collect())
+    assert todo() == [(0, 0), (0, 1), (1, 0)]
+    engine.start_learning(0)
+    assert todo() == [(1, 0)]
+    seen[0, 1] = "d"
+    assert todo() == [(0, 1), (1, 0)]
+    engine.start_learning(0, 1)
+    assert todo() == []
+
+
+def test_learning_is_kept_and_applied(spark, tmp_path):
+    engine = Engine(spark, SF, str(tmp_path))
+    every = {r["device"]: list(r["thresholds"]) for r in engine.query("learn_thresholds").collect()}
+    first, second = sorted(every)[:2]
+    assert {r["device"]: list(r["thresholds"]) for r in engine.learn(first).collect()} == {first: every[first]}
+    engine.start_learning(first, second)
+    old = engine.thresholds(first)
+    writes = engine.apply(first, second)
+    assert engine.thresholds(first) == every[first]
+    assert [(c, a, b) for d, c, a, b in writes if d == first] == sorted(((c, a, b) for c, (a, b) in enumerate(zip(old, every[first], strict=True)) if a != b), key=lambda w: (w[2] > w[1], w[0]))
+    assert engine.apply(first, second) == []
+    with pytest.raises(ValueError):
+        engine.apply(first, slot="other")
+    engine.set_gate_threshold(first, 0, 12.5)
+    assert engine.thresholds(first) == [10, *every[first][1:]]
+    for bad in ((9, 10), (0, 101), (0, float("nan"))):
+        with pytest.raises(ValueError):
+            engine.set_gate_threshold(first, *bad)
+    engine.clear(first)
+    assert {r["device"] for r in engine.results.read().collect()} == {second}
+    zone = engine.query("learning_sets").first()["zone"]
+    assert set(engine.members(zone)) >= {r["device"] for r in ad.groups(spark).where(f"zone = '{zone}'").collect()}
+    with pytest.raises(ValueError):
+        engine.members("nowhere")
+
+
+def test_an_export_holds_the_recording(spark, tmp_path):
+    engine = Engine(spark, SF, str(tmp_path))
+    want = vectors(spark, SF).where("device = 1").select("device", "start_ms", "end_ms", *GATES)
+    engine.export_file(1, f"{tmp_path}/out")
+    back = spark.read.schema(want.schema).json(f"{tmp_path}/out").select(want.columns)
+    assert want.count() == back.count() > 0 and want.exceptAll(back).isEmpty()
+    store.write_days(want, f"{tmp_path}/days")
+    engine.clear(1, f"{tmp_path}/days")
+    assert not list((tmp_path / "days").glob("device=1"))

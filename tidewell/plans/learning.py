@@ -317,10 +317,17 @@ def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"device": [rows["device"].iloc[0]], "thresholds": [list(best)], "cost": [cost(best)]})
 
 
+def learned(spark: SparkSession, sf: str, devices: list[int] | None = None) -> DataFrame:
+    """The fit of some devices, or of all; only the readings of these are folded."""
+    rows = vector_multiplicity(spark, sf)
+    rows = rows if devices is None else rows.where(F.col("device").isin(devices))
+    return rows.groupBy("device").applyInPandas(_fitted, "device long, thresholds array<int>, cost double")
+
+
 @query()
 def learn_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     """Thresholds by coordinate descent over each device's distinct vectors (G5, G7); the vectors are few, however long the history."""
-    return vector_multiplicity(spark, sf).groupBy("device").applyInPandas(_fitted, "device long, thresholds array<int>, cost double")
+    return learned(spark, sf)
 
 
 @query(with_views("SELECT device, threshold, round(least(100, 500 * (greatest(0, missed / present - 0.1))), 6)::DOUBLE AS quiet_cost, round(least(1, present * " + str(C) + " / 14400000.0), 6)::DOUBLE AS weight FROM (SELECT device, t AS threshold, sum(CASE WHEN 3 * g0 // 5 <= t AND NOT hit THEN n ELSE 0 END)::BIGINT AS missed, sum(n)::BIGINT AS present FROM (SELECT device, coalesce(g0, 0) AS g0, " + _HITS + " AS hit, count(*) AS n FROM pu WHERE state = 'present' GROUP BY ALL), (SELECT unnest([20, 40, 60]) AS t) GROUP BY device, t)", **PURE))

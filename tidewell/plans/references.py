@@ -160,11 +160,17 @@ def feedback_bias(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("device", "feedbacks", F.greatest(F.col("x.lo"), F.least(F.col("x.hi"), F.col("x.s"))).alias("bias_percent"))
 
 
+def signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """(device, pattern, signature) of the evidence that a pattern's price rests on."""
+    parts = [F.col("device").cast("string"), F.col("pattern").cast("string"), *[F.coalesce(c, F.lit(-1)).cast("string") for c in ("present_ms", "empty_ms")]]
+    return costs(spark, sf).select("device", "pattern", F.md5(F.concat_ws(":", *parts)).alias("signature"))
+
+
 @query(with_views("SELECT c.device, c.pattern, md5(c.device || ':' || c.pattern || ':' || coalesce(present_ms, -1) || ':' || coalesce(empty_ms, -1)) AS signature FROM cp c WHERE c.device % 2 = 0", **PRICE))
 def overnight_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """What is to be learned tonight: items whose evidence signature is not the one seen last."""
-    rows = costs(spark, sf).withColumn("signature", F.md5(F.concat_ws(":", F.col("device").cast("string"), F.col("pattern").cast("string"), F.coalesce("present_ms", F.lit(-1)).cast("string"), F.coalesce("empty_ms", F.lit(-1)).cast("string"))))
-    known = rows.where("device % 2 = 1").select("device", "pattern", "signature")  # as if these had been saved
+    """What is to be learned tonight: items whose evidence signature is not the one seen last (G28). Here those of odd devices count as seen; Engine.overnight has the stored ones."""
+    rows = signatures(spark, sf)
+    known = rows.where("device % 2 = 1")
     return rows.join(known, ["device", "pattern", "signature"], "left_anti").select("device", "pattern", "signature")
 
 

@@ -7,8 +7,10 @@ it has seen, and loses if another one came first.
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,16 @@ def days(spark: SparkSession, path: str, offset: int = 0, limit: int = 100) -> D
     return rows.orderBy(F.desc("day"), "device").offset(offset).limit(limit)
 
 
+def clear_device(spark: SparkSession, path: str, device: int) -> None:
+    """Takes all days of a device away."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/device={device}")
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+#: How long a claim on a revision holds; a rename takes far less.
+CLAIM_MS = 600_000
+
+
 class Conflict(RuntimeError):
     """Another writer came first."""
 
@@ -72,8 +84,27 @@ class Revisions:
         staged = self._path(f"{self.path}/_staged-{uuid.uuid4().hex}")
         columns = self.spark.createDataFrame([], self.schema).schema
         rows.select(*[F.col(c.name).cast(c.dataType) for c in columns]).write.parquet(str(staged))
-        target = self._path(f"{self.path}/rev={seen + 1}")
-        if self._fs.exists(target) or not self._fs.rename(staged, target):
-            self._fs.delete(staged, True)
-            raise Conflict(f"revision {seen + 1} came first")
+        claim, target = self._path(f"{self.path}/_claim-{seen + 1}"), self._path(f"{self.path}/rev={seen + 1}")
+        claimed = False
+        try:
+            claimed = self._claimed(claim)
+            if not claimed or self._fs.exists(target) or not self._fs.rename(staged, target):
+                raise Conflict(f"revision {seen + 1} came first")
+        finally:
+            if claimed:
+                self._fs.delete(claim, False)
+            if self._fs.exists(staged):
+                self._fs.delete(staged, True)
         return seen + 1
+
+    def _claimed(self, claim) -> bool:
+        """Whether this writer alone may make the revision: a file that is created only where there is none. One left by a writer that was lost goes after CLAIM_MS."""
+        if self._fs.exists(claim) and time.time() * 1000 - self._fs.getFileStatus(claim).getModificationTime() > CLAIM_MS:
+            self._fs.delete(claim, False)
+        try:
+            self._fs.create(claim, False).close()
+        except Py4JJavaError as e:
+            if self._fs.exists(claim):
+                return False
+            raise e
+        return True
