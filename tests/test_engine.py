@@ -16,7 +16,7 @@ from tidewell.operators import histograms as hg
 from tidewell.operators import intervals as iv
 from tidewell.operators import labels as lb
 from tidewell.operators import spans as sp
-from tidewell.plans import catalog
+from tidewell.plans import catalog, policies
 from tidewell.plans.learning import GATES, _fitted
 from tidewell.sources import adapter as ad
 from tidewell.streaming import live
@@ -212,3 +212,33 @@ def test_engine_stands_without_the_text_operators(tmp_path):
     shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path / "repo", capture_output=True, text=True, check=True)
     assert said.stdout.split()[-2] == str(len(catalog.QUERIES))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_presence_walk_against_plain_loops(seed):
+    rng = random.Random(seed)
+    m = rng.choice([0.5, 1.0, 2.0])
+    vectors = [(rng.choice(["present", "not_present"]), [None if rng.random() < 0.1 else rng.randrange(101) for _ in range(5)], rng.randrange(1, 9)) for _ in range(40)]
+    frame = pd.DataFrame([{"device": 1, "state": s, "n": n, "m": m, **{f"g{c}": v for c, v in enumerate(x)}} for s, x, n in vectors])
+    got = policies._walk(frame).iloc[0]
+
+    def price(t):
+        sums = {"present": 0, "not_present": 0}
+        for state, x, n in vectors:
+            hit = any(v is not None and v > limit and limit < 100 for v, limit in zip(x, t, strict=True))
+            sums[state] += n if hit != (state == "present") else 0
+        return 50 * m * sums["present"] + sums["not_present"]
+
+    legal = range(0, 101, 5)
+    now, rounds, shifts = [40] * 5, 0, [1, 2, 3, 4, 6, 8, 12]
+    while rounds < 12:
+        tried = [now] + [[max([v for v in legal if v < t and v <= t - k], default=0) for t in now] for k in shifts]
+        for c in range(5):
+            tried.append([max([v for v in legal if v < t], default=t) if i == c else t for i, t in enumerate(now)])
+        prices = [price(t) for t in tried]
+        best = tried[prices.index(min(prices))]
+        if best == now:
+            break
+        now, rounds, shifts = best, rounds + 1, []
+    assert (list(got["thresholds"]), got["rounds"], got["price"]) == (now, rounds, price(now))
+    assert got["shift"] == 40 - min(now)

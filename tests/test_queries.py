@@ -9,7 +9,7 @@ from tidewell.plans import catalog
 
 #: The second is for queries that have no rows in the first.
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-ROWS_ONLY = {"anomaly_audit", "learn_thresholds", "merged_episodes", "stream_presence"}
+ROWS_ONLY = {"anomaly_audit", "learn_thresholds", "merged_episodes", "presence_walk", "stream_presence"}
 
 
 def connected(sf):
