@@ -484,6 +484,35 @@ def test_join(spark, monkeypatch, n, num, den):
     assert got == want
 
 
+def test_join_passages_connect_no_candidates(spark, monkeypatch):
+    """A chain of unlike texts, each with a passage of the one before: they share fragments, but too few to link."""
+    rng = np.random.default_rng(5)
+    own = [" ".join(f"o{x}" for x in rng.integers(0, 1 << 40, 20)) for _ in range(200)]
+    passage = [" ".join(f"p{x}" for x in rng.integers(0, 1 << 40, 70)) for _ in range(201)]
+    docs = [(k, f"{passage[k]} {own[k]} {passage[k + 1]}") for k in range(200)] + [(200, f"{passage[7]} {own[7]} {passage[8]} more")]
+    seen, real = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: seen.append(edges.distinct().count()) or real(edges))
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(ngram_join.jaccard_components(table(spark, docs)))}
+    assert got == {d: 7 if d == 200 else d for d, _ in docs}
+    assert 1 <= seen[0] < 20
+
+
+@pytest.mark.parametrize("crowd", [2, 3, 1 << 16])
+def test_join_counts_keys_over_batches(monkeypatch, crowd):
+    """Keys are counted and the most frequent of a list go, wherever batches end."""
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    rng = np.random.default_rng(6)
+    rows = sorted((int(k), r, 8 << 20 | 2) for r in range(40) for k in rng.permutation(60)[:12] ** 2)
+    many = {k: sum(x == k for x, *_ in rows) for k, *_ in rows}
+    cut = lambda x, names, step: [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*x[i : i + step], strict=True)], names=names) for i in range(0, len(x), step)]
+    for step in (1, 7, 1000):
+        got = sorted(tuple(r.values()) for b in ngram_join._shared(iter(cut(rows, ["key", "rep", "list"], step))) for r in b.to_pylist())
+        assert got == [(k, r, t, min(many[k], crowd)) for k, r, t in rows if many[k] > 1]
+        got.sort(key=lambda x: (x[1], x[2], -x[3], x[0]))
+        want = [x[:2] for n, x in enumerate(got) if sum(y[1] == x[1] for y in got[:n]) >= 2]
+        assert [tuple(r.values()) for b in ngram_join._rarest(iter(cut([x[:3] for x in got], ["key", "rep", "list"], step))) for r in b.to_pylist()] == want
+
+
 def test_join_hard(hard, empty):
     got = collections.defaultdict(set)
     for r in rows_of(ngram_join.jaccard_components(hard)):

@@ -5,10 +5,12 @@ into its part of each fragment. Two sets of at most S elements together with Jac
 d = S (1 - t) / (1 + t) elements, so of d + 1 fragments they agree in one at least: sets that agree in a fragment are the
 candidates. How many fragments there are depends on the size: sizes fall in groups in which a set's partners are in its own group
 or the next, and a set is cut once for its own group and once for the group below. Fragments in which a set has nothing, or too few
-n-grams to tell, are no evidence; more fragments than d + 1 make up for them. Frequent n-grams, which many unlike texts share, are left out
-of these cuts (that takes no link away: fewer n-grams differ, not more). A set that lacks fragments then is cut with all its n-grams too, and
-if it still lacks some it is keyed by the small and empty ones as well. Of two sets that link, one has enough fragments of some cut, or both have the
-next cut, so they meet.
+n-grams to tell, are no evidence; more fragments than d + 1 make up for them. A set that still lacks fragments is keyed by its small and empty
+ones as well. Of two sets that link, one has enough fragments, or both have all, so they meet.
+
+Passages that many unlike texts share make equal fragments too. So all sets are counted that have a fragment, and no set meets others in its
+most frequent ones: a set with f full fragments agrees with each it links with in f - d, so the f - d - 1 most frequent of its cut can go (all
+sets follow one order, so of what two share the rarest stays in both). Nothing is sampled.
 
 Equal sets are one class before any of this. Pairs are not listed: each fragment links its sets to one of them, and what these links
 connect is a group of candidates. A group is dealt out in pairs of blocks of about BLOCK sets, so that a large one is the work of
@@ -30,8 +32,10 @@ from tidewell.llm.common import U64, arrow, chunks, components, cut, hashed_word
 
 #: Sets in a block, and n-grams in a fragment when overlaps are counted.
 BLOCK, COLUMNS = 128, 16384
-#: Documents that frequent n-grams are sampled from, how many of these have them, the most that are kept (8 MB).
-SAMPLED, OFTEN, FREQUENT = 16_384, 3, 1_000_000
+#: Sets with one key that are held until they are counted; keys of so many or more are equally frequent, and pass through.
+CROWD = 1 << 16
+#: Bits of a list's number that say how many of its keys can go (a list that could spare more keeps the rest), and those of its scheme.
+SPARE_BITS, SCHEME_BITS = 20, 12
 
 
 class Cuts:
@@ -121,56 +125,36 @@ def _fragments(grams: np.ndarray, at: np.ndarray, own: np.ndarray, parts: np.nda
     return slot[begin], part[begin], sums, np.diff(np.append(begin, len(index)))
 
 
-def fragment_keys(grams: np.ndarray, at: np.ndarray, cuts: Cuts, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all sets' fragments, and for each key the number of its set; common are frequent n-grams, ascending."""
+def fragment_keys(grams: np.ndarray, at: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of all sets' fragments, for each key the number of its set, and the list that it is of.
+
+    A list is a set's cut by one scheme: its number has 24 bits of the set's hash (rows can share a doc_id), the scheme, and how many of its keys can go."""
     size = np.diff(at)
-    place = np.minimum(np.searchsorted(common, grams), max(0, len(common) - 1))
-    rare = common[place] != grams if len(common) else np.ones(len(grams), bool)
-    rare_at = np.concatenate(([0], np.cumsum(rare)))[at]
-    keys, owners = [], []
+    whole = _sum_by(mix(grams + U64(3)), at)
+    keys, owners, lists = [], [], []
     for own, scheme in cuts.schemes(size):
-        # frequent n-grams left out; then all n-grams, of the sets that have too few fragments so
-        for kind, (elements, begin) in enumerate(((grams[rare], rare_at), (grams, at))):
-            if not len(own):
-                break
-            parts, spare, least = (np.array(x)[scheme[own]] for x in (cuts.parts, cuts.spare, cuts.least))
-            slot, part, sums, count = _fragments(elements, begin, own, parts)
-            named = lambda sl, pt, k=kind, o=own: mix(pt * U64(0x9E3779B97F4A7C15) + scheme[o][sl].astype(U64) * U64(0xC2B2AE3D27D4EB4F) + U64(k))  # noqa: B023, E731
-            full = count >= least[slot]
-            lacking = parts - np.bincount(slot[full], minlength=len(own)) > spare
-            take = full | lacking[slot] if kind else full
-            keys.append(mix(sums[take] + named(slot[take], part[take])))
-            owners.append(own[slot[take]])
-            if kind:
-                for k in np.flatnonzero(lacking):
-                    void = np.setdiff1d(np.arange(parts[k], dtype=U64), part[slot == k])
-                    keys.append(mix(named(np.full(len(void), k), void) ^ U64(0x5555555555555555)))
-                    owners.append(np.full(len(void), own[k]))
-            own = own[lacking]
+        if not len(own):
+            continue
+        parts, spare, least, differ = (np.array(x)[scheme[own]] for x in (cuts.parts, cuts.spare, cuts.least, cuts.differ))
+        slot, part, sums, count = _fragments(grams, at, own, parts)
+        named = lambda sl, pt, o=own: mix(pt * U64(0x9E3779B97F4A7C15) + scheme[o][sl].astype(U64) * U64(0xC2B2AE3D27D4EB4F))  # noqa: B023, E731
+        full = count >= least[slot]
+        enough = np.bincount(slot[full], minlength=len(own))
+        lacking = parts - enough > spare
+        can_go = np.clip(enough - differ - 1, 0, (1 << SPARE_BITS) - 1).astype(U64)
+        listed = ((whole[own] >> U64(40)) << U64(SCHEME_BITS) | scheme[own].astype(U64)) << U64(SPARE_BITS) | can_go
+        take = full | lacking[slot]
+        keys.append(mix(sums[take] + named(slot[take], part[take])))
+        owners.append(own[slot[take]])
+        lists.append(listed[slot[take]])
+        for k in np.flatnonzero(lacking):
+            void = np.setdiff1d(np.arange(parts[k], dtype=U64), part[slot == k])
+            keys.append(mix(named(np.full(len(void), k), void) ^ U64(0x5555555555555555)))
+            owners.append(np.full(len(void), own[k]))
+            lists.append(np.full(len(void), listed[k]))
     if not keys:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
-
-
-def _grams(n: int):
-    """The n-grams of some texts, a row for each of a set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_of(batch.column(0))
-            for a, b in chunks(offsets):
-                grams, _ = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], names=["gram"])
-
-    return run
-
-
-def frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """N-grams that OFTEN or more of a sample of about SAMPLED documents have, the most frequent FREQUENT at most. They only shape the candidates."""
-    total = docs.count()
-    some = docs.select("text").sample(min(1.0, SAMPLED / max(total, 1)), 23).transform(arrow, _grams(n), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
-    found = some.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").toPandas()["gram"].to_numpy(np.int64)
-    return np.sort(found.view(U64))
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(lists)
 
 
 def _names(n: int):
@@ -187,8 +171,8 @@ def _names(n: int):
     return run
 
 
-def _keys(n: int, num: int, den: int, common):
-    """The keys of all sets' fragments."""
+def _keys(n: int, num: int, den: int):
+    """The keys of all sets' fragments, with their lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = Cuts(num, den)
@@ -197,12 +181,59 @@ def _keys(n: int, num: int, den: int, common):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in chunks(offsets):
                 grams, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                keys, owners = fragment_keys(grams, at, cuts, common.value)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[a:b][owners])], names=["key", "rep"])
+                keys, owners, lists = fragment_keys(grams, at, cuts)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[a:b][owners]), pa.array(lists.view(np.int64))], names=["key", "rep", "list"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: those of keys that two lists or more have, with how many have it, CROWD at most."""
+
+    def counted(rows: list[np.ndarray], many: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(many.astype(np.int64))], names=["key", "rep", "list", "many"])
+
+    held, crowded = [np.zeros(0, np.int64)] * 3, None
+    for batch in batches:
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        if crowded is not None and len(rows[0]):
+            n = int(np.searchsorted(rows[0], crowded, "right"))
+            if n:
+                yield counted([x[:n] for x in rows], np.full(n, CROWD))
+            rows = [x[n:] for x in rows]
+        if not len(rows[0]):
+            continue
+        crowded = None
+        rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)]
+        begin = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+        many = np.minimum(np.repeat(np.diff(np.append(begin, len(rows[0]))), np.diff(np.append(begin, len(rows[0])))), CROWD)
+        last = len(rows[0])
+        if many[-1] < CROWD:  # more may follow
+            last = int(begin[-1])
+        else:
+            crowded = rows[0][-1]
+        held = [x[last:] for x in rows]
+        some = np.flatnonzero(many[:last] > 1)
+        yield counted([x[some] for x in rows], many[some])
+    if len(held[0]) > 1:
+        yield counted(held, np.full(len(held[0]), len(held[0])))
+
+
+def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (rep, list), the most frequent keys first: without as many of each list as can go."""
+    now, gone = None, 0
+    for batch in batches:
+        key, rep, of = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        if not len(key):
+            continue
+        new = np.concatenate(([now != (rep[0], of[0])], (rep[1:] != rep[:-1]) | (of[1:] != of[:-1])))
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        rank = np.arange(len(key)) - at + np.where(at < 0, gone - 1, 0)  # before the first new list at is -1
+        now, gone = (rep[-1], of[-1]), int(rank[-1]) + 1
+        stay = rank >= (of.view(U64) & U64((1 << SPARE_BITS) - 1)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key[stay]), pa.array(rep[stay])], names=["key", "rep"])
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, rep): edges from the first set of each key to the others. Nothing of a key is held but its first set."""
     last_key, lead = None, 0
@@ -323,13 +354,14 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     rows = stored(docs.transform(arrow, _names(n), "doc_id long, n long, hi long, lo long"), "sets")
-    common = spark.sparkContext.broadcast(frequent(docs, n))  # 8 bytes each, FREQUENT at most
     same = ["n", "hi", "lo"]
     reps = cut(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))  # written, so that joins with it can split a hot set
     # all but later copies: these are few, as a rule, and leave the texts where they are
     copies = rows.join(reps, same).where("doc_id != rep").select("doc_id").distinct().join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
-    keys = joined(docs.where("doc_id is not null"), copies, "doc_id", "left_anti").transform(arrow, _keys(n, num, den, common), "key long, rep long")
-    edges = keys.repartition(parts, "key").sortWithinPartitions("key", "rep").transform(arrow, _stars, "a long, b long")
+    keys = joined(docs.where("doc_id is not null"), copies, "doc_id", "left_anti").transform(arrow, _keys(n, num, den), "key long, rep long, list long")
+    shared = keys.repartition(parts, "key").sortWithinPartitions("key").transform(arrow, _shared, "key long, rep long, list long, many long")
+    rare = shared.repartition(parts, "rep", "list").sortWithinPartitions("rep", "list", F.desc("many"), "key").transform(arrow, _rarest, "key long, rep long")
+    edges = rare.repartition(parts, "key").sortWithinPartitions("key", "rep").transform(arrow, _stars, "a long, b long")
     near = components(edges)
     sized = near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("id").alias("doc_id"), "component", "size")
     blocks = joined(docs, sized, "doc_id", "inner").select("doc_id", "text", "component", "size").transform(arrow, _blocks(n), "group long, low long, high long, id long, upper boolean, set binary")
