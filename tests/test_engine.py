@@ -71,6 +71,25 @@ def test_overlay_takes_the_last_label(spark):
     assert {(r["k"], t): r["state"] for r in got.collect() for t in range(r["start_ms"], r["end_ms"])} == want
 
 
+def test_overlay_meets_no_pairs(spark):
+    """Intervals over several time buckets that nearly all overlap: the greatest order wins, and no join makes a row for each piece and interval."""
+    rng, hour = random.Random(4), 3_600_000
+    rows = [(k, a, a + rng.randrange(1, 15 * hour), rng.randrange(2), i, f"v{rng.randrange(3)}") for k in ("x", "y") for i in range(60) for a in [rng.randrange(0, 15 * hour)]]
+    df = spark.createDataFrame([*rows, (None, 0, hour, 1, 99, "v0"), ("x", 5, 5, 1, 99, "v9")], "k string, start_ms long, end_ms long, prio int, ord long, state string")
+    got = iv.overlay(df, ["k"], F.struct("prio", "ord"), ["state", "prio"])
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for k in ("x", "y"):
+        at = sorted({t for r in rows if r[0] == k for t in r[1:3]})
+        for s, e in zip(at, at[1:]):
+            best = max(((r[3:5], r[5]) for r in rows if r[0] == k and r[1] <= s < r[2]), default=None)
+            if best and want and want[-1][0] == k and want[-1][2] == s and want[-1][3:] == (best[1], best[0][0]):
+                want[-1] = (*want[-1][:2], e, *want[-1][3:])
+            elif best:
+                want.append((k, s, e, best[1], best[0][0]))
+    assert sorted((r["k"], r["start_ms"], r["end_ms"], r["state"], r["prio"]) for r in got.collect()) == want
+
+
 def test_apply_range_keeps_outer_parts(spark):
     labels = spark.createDataFrame([(1, 0, 10, "a"), (1, 20, 30, "b"), (2, 0, 10, "a")], "device long, start_ms long, end_ms long, state string")
     ranges = spark.createDataFrame([(1, 5, 25)], "device long, a long, b long")
