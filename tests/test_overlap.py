@@ -8,7 +8,7 @@ from tidewell.plans import catalog
 
 SF, COPIES = "/root/testdata/sf0.01", 6
 NAMES = [
-    "room_levels", "union_rule_target", "anomaly_audit", "anomaly_windows", "apply_decision", "best_slots", "candidate_thresholds",
+    "room_levels", "union_rule_target", "anomaly_audit", "anomaly_windows", "apply_decision", "best_slots", "candidate_thresholds", "channel_evidence",
 ]
 
 
