@@ -9,7 +9,7 @@ from tidewell.plans import catalog
 SF, COPIES = "/root/testdata/sf0.01", 6
 NAMES = [
     "room_levels", "union_rule_target", "anomaly_audit", "anomaly_windows", "apply_decision", "best_slots", "candidate_thresholds", "channel_evidence",
-    "class_statistics", "confusion", "confusion_metrics", "chronological_split", "core_cost", "crossing_costs", "display_score",
+    "class_statistics", "confusion", "confusion_metrics", "chronological_split", "core_cost", "crossing_costs", "display_score", "episode_outcomes",
 ]
 
 
