@@ -10,7 +10,7 @@ SF, COPIES = "/root/testdata/sf0.01", 6
 NAMES = [
     "room_levels", "union_rule_target", "anomaly_audit", "anomaly_windows", "apply_decision", "best_slots", "candidate_thresholds", "channel_evidence",
     "class_statistics", "confusion", "confusion_metrics", "chronological_split", "core_cost", "crossing_costs", "display_score", "episode_outcomes",
-    "episode_support", "exclusive_presence", "gate_preference", "gate_regime", "guess_trials", "guesses_checked",
+    "episode_support", "exclusive_presence", "gate_preference", "gate_regime", "guess_trials", "guesses_checked", "human_truth",
 ]
 
 
